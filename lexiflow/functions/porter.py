@@ -1,0 +1,165 @@
+"""English stemmer (the Porter2 / Snowball English algorithm, from its
+published description). A small per-word helper: it only ever runs on the
+distinct vocabulary, inside Spark tasks (see ``operators.stem``)."""
+from __future__ import annotations
+
+VOWELS = set("aeiouy")
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+LI_ENDING = set("cdeghkmnrt")
+
+# The algorithm's exception words and suffix tables.
+EXCEPTIONS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
+    "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli",
+    "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas",
+    "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+STEP2 = [
+    ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"),
+    ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"),
+    ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"),
+    ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"),
+    ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", ""),
+]
+STEP3 = [
+    ("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"),
+    ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", ""),
+]
+STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti",
+         "ous", "ive", "ize", "ion", "al", "er", "ic"]
+
+
+def _r1r2(w: str) -> tuple[int, int]:
+    def region(start: int) -> int:
+        for i in range(start + 1, len(w)):
+            if w[i] not in VOWELS and w[i - 1] in VOWELS:
+                return i + 1
+        return len(w)
+    r1 = None
+    for pre in ("gener", "commun", "arsen"):
+        if w.startswith(pre):
+            r1 = len(pre)
+    if r1 is None:
+        r1 = region(0)
+    r2 = region(r1)
+    return r1, r2
+
+
+def _short_syllable_end(w: str) -> bool:
+    if len(w) == 2:
+        return w[0] in VOWELS and w[1] not in VOWELS
+    if len(w) >= 3:
+        return (w[-3] not in VOWELS and w[-2] in VOWELS and w[-1] not in VOWELS
+                and w[-1] not in "wxY")
+    return False
+
+
+def _is_short(w: str, r1: int) -> bool:
+    return r1 >= len(w) and _short_syllable_end(w)
+
+
+def _has_vowel(s: str) -> bool:
+    return any(c in VOWELS for c in s)
+
+
+def stem(word: str) -> str:
+    if word is None:
+        return None
+    w = word
+    if len(w) <= 2:
+        return w
+    if w in EXCEPTIONS:
+        return EXCEPTIONS[w]
+    if w.startswith("'"):
+        w = w[1:]
+    if w.startswith("y"):
+        w = "Y" + w[1:]
+    w = w[0] + "".join("Y" if c == "y" and w[i] in VOWELS else c
+                       for i, c in enumerate(w[1:]))
+    r1, r2 = _r1r2(w)
+    # step 0
+    for suf in ("'s'", "'s", "'"):
+        if w.endswith(suf):
+            w = w[: -len(suf)]
+            break
+    # step 1a
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("ied") or w.endswith("ies"):
+        w = w[:-3] + ("i" if len(w) > 4 else "ie")
+    elif w.endswith("us") or w.endswith("ss"):
+        pass
+    elif w.endswith("s"):
+        if _has_vowel(w[:-2]):
+            w = w[:-1]
+    if w in AFTER_1A:
+        return w
+    # step 1b
+    for suf in ("eedly", "ingly", "edly", "eed", "ing", "ed"):
+        if w.endswith(suf):
+            if suf in ("eed", "eedly"):
+                if len(w) - len(suf) >= r1:
+                    w = w[: -len(suf)] + "ee"
+            else:
+                stem_part = w[: -len(suf)]
+                if _has_vowel(stem_part):
+                    w = stem_part
+                    if w.endswith(("at", "bl", "iz")):
+                        w += "e"
+                    elif w.endswith(DOUBLES):
+                        w = w[:-1]
+                    elif _is_short(w, r1):
+                        w += "e"
+            break
+    # step 1c
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWELS:
+        w = w[:-1] + "i"
+    # step 2
+    for suf, rep in STEP2:
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r1:
+                if suf == "ogi":
+                    if w[-4:-3] == "l":
+                        w = w[:-3] + rep
+                elif suf == "li":
+                    if w[-3:-2] in LI_ENDING and len(w) >= 3:
+                        w = w[:-2]
+                else:
+                    w = w[: -len(suf)] + rep
+            break
+    # step 3
+    for suf, rep in STEP3:
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r1:
+                if suf == "ative":
+                    if len(w) - len(suf) >= r2:
+                        w = w[: -len(suf)]
+                else:
+                    w = w[: -len(suf)] + rep
+            break
+    # step 4
+    for suf in STEP4:
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r2:
+                if suf == "ion":
+                    if w[-4:-3] in ("s", "t"):
+                        w = w[:-3]
+                else:
+                    w = w[: -len(suf)]
+            break
+    # step 5
+    if w.endswith("e"):
+        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _short_syllable_end(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("l"):
+        if len(w) - 1 >= r2 and w[-2:-1] == "l":
+            w = w[:-1]
+    return w.replace("Y", "y")
+
+
+def stem_term(term: str, sep: str = "_") -> str:
+    """Stem each part of an n-gram term."""
+    if term is None:
+        return None
+    return sep.join(stem(p) for p in term.split(sep))
