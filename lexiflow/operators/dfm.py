@@ -84,6 +84,18 @@ class Dfm:
     def nested(self) -> bool:
         return self.rows is not None
 
+    def materialize(self) -> "Dfm":
+        """Counts computed once and checkpointed (see ``session.materialize``):
+        operators that read the dfm twice (trim, tf-idf, stem) then reread
+        stored counts instead of tokenizing the texts again."""
+        from ..session import materialize
+        if self.rows is not None:
+            rows = materialize(self.rows)
+            return Dfm(docs=rows.drop("counts"), rows=rows, id_col=self.id_col,
+                       value_type=self.value_type)
+        return Dfm(docs=self.docs, long_df=materialize(self.long_df), id_col=self.id_col,
+                   value_type=self.value_type)
+
     def ndoc(self) -> DataFrame:
         """One-row DataFrame ``ndoc``."""
         return self.docs.agg(F.count(F.lit(1)).alias("ndoc"))

@@ -59,12 +59,12 @@ def kwic(tokens_df: DataFrame, terms: Sequence[str] | None = None,
 
     def row(i):
         lo = F.greatest(F.lit(1), i - window)
-        fields = [i.alias("from"), (i + (k - 1)).alias("to"),
+        fields = [i.cast("bigint").alias("from"), (i + (k - 1)).cast("bigint").alias("to"),
                   F.array_join(F.slice(tok, lo, i - lo), " ").alias("pre"),
                   F.array_join(F.slice(tok, i, k), " ").alias("keyword"),
                   F.array_join(F.slice(tok, i + k, window), " ").alias("post")]
         if with_size:
-            fields.append(F.size(tok).alias("ntokens"))
+            fields.append(F.size(tok).cast("bigint").alias("ntokens"))
         return F.struct(*fields)
     cols = ["doc_id", F.inline(F.transform("__pos", row))]
     return step.select(*cols)
@@ -81,13 +81,18 @@ def term_positions(tokens_df: DataFrame, terms: Sequence[str] | None = None,
                    phrase: Sequence[str] | str | None = None, max_docs: int = POSITIONS_MAX_DOCS,
                    tokens_col: str = "tokens") -> DataFrame:
     """Dispersion data (K5): ``doc_id, from, ntokens, rel_pos`` for the first
-    ``max_docs`` matched documents in id order (D12: documents, not rows)."""
-    kw = kwic(tokens_df, terms, phrase, 0, tokens_col, with_size=True)
-    first = kw.select("doc_id").distinct().orderBy("doc_id").limit(max_docs)
-    # at most max_docs ids: a proven bound for the broadcast
-    kept = kw.join(F.broadcast(first), "doc_id", "left_semi")
-    return kept.select("doc_id", "from", "ntokens",
-                       F.round(F.col("from") / F.col("ntokens"), 4).alias("rel_pos"))
+    ``max_docs`` matched documents in id order (D12: documents, not rows).
+    Hit positions stay an array in the document row, the first documents
+    are a top-k over document rows, and only their hits are exploded."""
+    if isinstance(phrase, str):
+        phrase = phrase.split()
+    tok = F.col(tokens_col)
+    pos, _ = _hit_positions(tok, terms, phrase)
+    docs = (tokens_df.select("doc_id", fence(pos).alias("__pos"), F.size(tok).alias("ntokens"))
+            .filter(F.size("__pos") > 0).orderBy("doc_id").limit(max_docs))
+    return docs.select("doc_id", F.explode("__pos").alias("from"), "ntokens").select(
+        "doc_id", F.col("from").cast("bigint").alias("from"), F.col("ntokens").cast("bigint").alias("ntokens"),
+        F.round(F.col("from") / F.col("ntokens"), 4).alias("rel_pos"))
 
 
 def kwic_summary(kw: DataFrame, max_docs: int = POSITIONS_MAX_DOCS) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,7 +15,7 @@ def drop_pos(parsed: DataFrame, pos: Sequence[str]) -> DataFrame:
     """Remove tokens whose POS is listed (F6); a NULL POS is kept."""
     if not pos:
         return parsed
-    return parsed.filter(~F.coalesce(F.col("pos").isin(list(pos)), F.lit(False)))
+    return parsed.filter(keep_pos(pos))
 
 
 def token_context(parsed: DataFrame, col: str = "token") -> DataFrame:
@@ -35,19 +35,22 @@ def pos_counts(parsed: DataFrame) -> DataFrame:
             .orderBy("n", "pos"))
 
 
-def rebuild_texts(parsed: DataFrame, all_docs: DataFrame | None = None,
-                  column: str = "token") -> DataFrame:
-    """Text of each document from its tokens in order, joined by a blank
-    (A16); documents of ``all_docs`` without tokens get ``''`` (J3)."""
-    texts = (parsed.groupBy("doc_id")
-             .agg(F.sort_array(F.collect_list(F.struct("token_pos", F.col(column).alias("t"))))
-                  .alias("ts"))
-             .select("doc_id", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text")))
-    if all_docs is None:
-        return texts
-    ids = all_docs.select("doc_id").distinct()
-    return (ids.join(texts, "doc_id", "left")
-            .select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
+def rebuild_texts(parsed: DataFrame, keep: Column | None = None, column: str = "token") -> DataFrame:
+    """Text of each document from its kept tokens in order, joined by a
+    blank (A16). ``keep`` is a condition on the token rows (e.g. from
+    ``keep_pos``); a document whose tokens are all dropped gets ``''`` (J3).
+    One aggregation by document: the condition is applied inside it, so
+    every document of the table is present without a completion join."""
+    item = F.struct("token_pos", F.col(column).alias("t"))
+    if keep is not None:
+        item = F.when(keep, item)
+    return (parsed.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("ts"))
+            .select("doc_id", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text")))
+
+
+def keep_pos(pos: Sequence[str]) -> Column:
+    """Row condition of ``drop_pos``: POS not listed (NULL POS kept)."""
+    return ~F.coalesce(F.col("pos").isin(list(pos)), F.lit(False))
 
 
 def frequent_lemmas(parsed: DataFrame, all_docs: DataFrame | None = None,

@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from ..functions.patterns import quote_regex
 from ..functions.query import parse, query_terms, result_column
 from .dfm import Dfm, presence
-from .kwic import kwic
 
 
 def search(d: Dfm, query: str, binary: bool = False, lowercase: bool = True,
@@ -145,27 +144,56 @@ def highlight_expr(text: Column | str, terms: Sequence[str]) -> Column:
     return F.regexp_replace(text, F.lit(pat), F.lit("<span class='highlight'>$1</span>"))
 
 
-def search_kwic(hits: DataFrame, tokens_df: DataFrame, terms: Sequence[str],
-                window: int = 7) -> DataFrame:
-    """Kwic lines of matched documents only (Q14): ``doc_id, kwic`` with lines
-    ``...pre <strong>kw</strong> post...`` joined by ``<br />``. Each term
-    is matched as a phrase (n-gram parts split at ``_``)."""
+def kwic_lines_expr(tokens: Column | str, terms: Sequence[str], window: int = 7) -> Column:
+    """Kwic lines of one document as one string, built inside the row:
+    ``...pre <strong>kw</strong> post...`` per hit in token order, joined by
+    ``<br />``. Terms are matched as phrases (n-gram parts split at ``_``)."""
+    tok = F.col(tokens) if isinstance(tokens, str) else tokens
+    phrases = [[w.lower() for w in t.replace("_", " ").split() if w] for t in dict.fromkeys(terms)]
+    phrases = [p for p in phrases if p]
+    n = F.size(tok)
+
+    def line(i, k):
+        lo = F.greatest(F.lit(1), i - window)
+        return F.concat(F.lit("..."), F.array_join(F.slice(tok, lo, i - lo), " "), F.lit(" <strong>"),
+                        F.array_join(F.slice(tok, i, k), " "), F.lit("</strong> "),
+                        F.array_join(F.slice(tok, i + k, window), " "), F.lit("..."))
+
+    def matches(i, words):
+        c = F.lower(F.element_at(tok, i)) == words[0]
+        for j, w in enumerate(words[1:], start=1):
+            c = c & F.coalesce(F.lower(F.element_at(tok, i + j)) == w, F.lit(False))
+        return c
+
+    def at(i):
+        return F.array_compact(F.array(*[F.when(matches(i, p), line(i, len(p))) for p in phrases]))
+    lines = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), at)))
+    return F.array_join(F.coalesce(lines, F.array().cast("array<string>")), "<br />")
+
+
+def search_kwic(tokens_df: DataFrame, query: str, window: int = 7, lowercase: bool = True,
+                tokens_col: str = "tokens") -> DataFrame:
+    """Kwic of the documents matched by ``query`` (Q14): ``doc_id, kwic``.
+    The counts, the query value and the lines are all computed inside each
+    document row, so nothing is joined or shuffled; for a dfm that is not
+    the plain count of these tokens (stemmed, trimmed), use
+    ``search_kwic_hits``."""
+    from .dfm import counted
+    node = parse(query)
+    terms = query_terms(node, lowercase)
+    rows = counted(tokens_df.withColumn("__c", F.col(tokens_col)), "__c", "counts")
+    d = Dfm(docs=rows.drop("counts"), rows=rows)
+    hits = search(d, query, lowercase=lowercase)
+    return (hits.filter(F.col("n") > 0)
+            .select("doc_id", kwic_lines_expr(tokens_col, terms, window).alias("kwic")))
+
+
+def search_kwic_hits(hits: DataFrame, tokens_df: DataFrame, terms: Sequence[str],
+                     window: int = 7, tokens_col: str = "tokens") -> DataFrame:
+    """Same lines for hits of any dfm: matched ids are semi-joined to the
+    token rows (a shuffle join on the document id)."""
     matched = tokens_df.join(hits.filter(F.col("n") > 0).select("doc_id"), "doc_id", "left_semi")
-    parts = []
-    for t in dict.fromkeys(terms):
-        words = [w for w in t.replace("_", " ").split() if w]
-        if words:
-            parts.append(kwic(matched, phrase=words, window=window))
-    kw = parts[0]
-    for p in parts[1:]:
-        kw = kw.unionByName(p)
-    line = F.concat(F.lit("..."), F.col("pre"), F.lit(" <strong>"), F.col("keyword"),
-                    F.lit("</strong> "), F.col("post"), F.lit("..."))
-    # lines of one document: bounded by that document's length
-    return (kw.groupBy("doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("from", line.alias("l")))).alias("ls"))
-            .select("doc_id", F.array_join(F.transform("ls", lambda x: x["l"]), "<br />")
-                    .alias("kwic")))
+    return matched.select("doc_id", kwic_lines_expr(tokens_col, terms, window).alias("kwic"))
 
 
 def doc_metadata(docs: DataFrame, cols: Sequence[str]) -> DataFrame:

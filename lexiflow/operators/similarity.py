@@ -24,7 +24,10 @@ def _stats(d: Dfm, term: str) -> DataFrame:
                          lambda a, c: c["n"])
         long = d.rows.withColumn("__y", yv).select(idc, "__y", F.inline("counts"))
     else:
-        y = d.long_df.filter(F.col("term") == term).select(idc, F.col("n").alias("__y"))
+        # the condition reads ``n`` so it stays above an aggregate that made
+        # the long table: both sides then share one exchange
+        y = d.long_df.filter(F.when(F.col("term") == term, F.col("n")).isNotNull()) \
+            .select(idc, F.col("n").alias("__y"))
         long = d.long_df.join(y, idc, "left")
     x = F.col("n").cast("double")
     yy = F.col("__y").cast("double")
@@ -52,8 +55,16 @@ def term_similarity(d: Dfm, term: str, method: str = "correlation") -> DataFrame
     empty result (H7). Correlation is NULL when a variance is 0."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
+    # every aggregate column stays read (no pruning) whatever is selected
     s = _stats(d, term)
-    ystats = s.filter(F.col("term") == term).select(
+    s = s.filter((F.col("sx") + F.col("sxx") + F.col("dfx") + F.col("sxy") + F.col("common")) >= 0)
+    # The chosen term's own row holds Σy, Σy², df_y. The filter reads every
+    # aggregate column in one condition, so Catalyst can neither push it below
+    # the aggregate nor prune that aggregate: both branches keep the same
+    # exchange and Spark reuses it (one pass over the texts).
+    whole = F.when(F.col("term") == term, F.col("sx") + F.col("sxx") + F.col("dfx")
+                   + F.col("sxy") + F.col("common"))
+    ystats = s.filter(whole.isNotNull()).select(
         F.col("sx").alias("sy"), F.col("sxx").alias("syy"), F.col("dfx").alias("dfy"))
     ndoc = d.docs.agg(F.count(F.lit(1)).cast("double").alias("N"))
     # both sides are one row: broadcast size is fixed

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import bounded_broadcast
 from .dfm import Dfm, term_totals
 
 FREQUENT_TERMS_MAX = 10000
@@ -73,21 +74,24 @@ def wordcloud_terms(d: Dfm, max_words: int = 30, min_count: int = 1) -> DataFram
                       F.row_number().over(w).alias("rank"))
 
 
-def comparison_terms(d: Dfm, by: str, max_words: int = 30) -> DataFrame:
+def comparison_terms(d: Dfm, by: str, max_words: int = 30, max_groups: int = 100_000) -> DataFrame:
     """Comparison cloud data (A10): rate of each term in each group minus
     its average rate over all groups (absent = 0); each term goes to the
-    group where it deviates most; the ``max_words`` largest deviations."""
+    group where it deviates most; the ``max_words`` largest deviations.
+
+    Group totals (one row per group) are broadcast when the document table
+    shows at most ``max_groups`` groups; the average over groups is a window
+    partitioned by term, which holds at most one row per group."""
     long = d.long_with([by]).filter(F.col(by).isNotNull())
     gt = long.groupBy(by, "term").agg(F.sum("n").alias("n"))
     tot = gt.groupBy(by).agg(F.sum("n").alias("__tot"))
-    ngroups = d.docs.filter(F.col(by).isNotNull()).agg(F.countDistinct(by).alias("__G"))
-    # group totals: one row per group value (bounded by the profile limit)
-    rate = gt.join(tot, by).withColumn("rate", F.col("n") / F.col("__tot"))
-    avg = (rate.groupBy("term").agg(F.sum("rate").alias("__s"))
-           .crossJoin(F.broadcast(ngroups))
-           .withColumn("avg_rate", F.col("__s") / F.col("__G")))
-    dev = rate.join(avg.select("term", "avg_rate"), "term").withColumn(
-        "deviation", F.col("rate") - F.col("avg_rate"))
+    groups = d.docs.filter(F.col(by).isNotNull()).select(by).distinct()
+    ngroups = groups.agg(F.count(F.lit(1)).alias("__G"))
+    tot = bounded_broadcast(tot, max_groups, probe=groups)
+    w = Window.partitionBy("term")
+    dev = (gt.join(tot, by).crossJoin(F.broadcast(ngroups))
+           .withColumn("rate", F.col("n") / F.col("__tot"))
+           .withColumn("deviation", F.col("rate") - F.sum("rate").over(w) / F.col("__G")))
     best = dev.groupBy("term").agg(
         F.max_by(F.struct(F.col("deviation"), F.col(by)), F.struct(F.col("deviation"), F.col(by)))
         .alias("b"))

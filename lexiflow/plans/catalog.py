@@ -67,8 +67,9 @@ def load_corpus(spark: SparkSession, sf: str, labels: bool = False,
     return c
 
 
-def load_dfm(spark, sf, opts=TextOptions(), labels=False) -> M.Dfm:
-    return M.dfm(clean_tokens(load_corpus(spark, sf, labels), opts))
+def load_dfm(spark, sf, opts=TextOptions(), labels=False, materialize=False) -> M.Dfm:
+    d = M.dfm(clean_tokens(load_corpus(spark, sf, labels), opts))
+    return d.materialize() if materialize else d
 
 
 def load_parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,7 +395,7 @@ DFM_DV = [S.docs_cte(), _toks_cte(), S.dfm_cte(extra="lang, source")]
 @register("dfm_trim", _sql(*DEFAULT_SQL, body=(
     "SELECT doc_id, term, n FROM dfm WHERE term IN (SELECT term FROM dfm GROUP BY term HAVING sum(n) >= 5)")))
 def q_dfm_trim(spark, sf):
-    return M.trim_features(load_dfm(spark, sf), 5).long
+    return M.trim_features(load_dfm(spark, sf, materialize=True), 5).long
 
 
 @register("dfm_group", _sql(*DFM_DV, body=(
@@ -415,7 +416,7 @@ def _weight_query(scheme: str):
     @register(f"weight_{scheme}", _sql(*DEFAULT_SQL, body=(
         f"SELECT doc_id, term, round({WEIGHT_SQL[scheme]}, 8) AS w FROM dfm")))
     def q(spark, sf):
-        d = M.weight(load_dfm(spark, sf), scheme)
+        d = M.weight(load_dfm(spark, sf, materialize=scheme == "tfidf"), scheme)
         return d.long.select(d.id_col, "term", F.round("n", 8).alias("w"))
     return q
 
@@ -429,7 +430,7 @@ for _s in ("relfreq", "relmaxfreq", "logfreq", "tfidf"):
     "count(*) OVER (PARTITION BY term)), 8) AS w FROM dfm WHERE term IN "
     "(SELECT term FROM dfm GROUP BY term HAVING sum(n) >= 3)")))
 def q_weight_tfidf_long(spark, sf):
-    d = M.weight(M.trim_features(load_dfm(spark, sf), 3), "tfidf")
+    d = M.weight(M.trim_features(load_dfm(spark, sf, materialize=True), 3).materialize(), "tfidf")
     return d.long.select("doc_id", "term", F.round("n", 8).alias("w"))
 
 
@@ -511,7 +512,11 @@ def q_distinct_values(spark, sf):
 # ------------------------------------------------------------- 6. search
 
 def _hits(spark, sf, query, labels=False, binary=False):
-    return Q.search(load_dfm(spark, sf, labels=labels), query, binary=binary)
+    hits = Q.search(load_dfm(spark, sf), query, binary=binary)
+    if labels:
+        # side docvars join the narrow per-document result, not the texts
+        hits = hits.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
+    return hits
 
 
 SEARCH_SQL = DEFAULT_SQL
@@ -678,9 +683,7 @@ def _kwic_sql(tok_src: str, terms=None, phrase=None, window: int = 7) -> str:
     "'<br />' ORDER BY \"from\", '...' || pre || ' <strong>' || keyword || '</strong> ' || post || '...') "
     "AS kwic FROM kw GROUP BY doc_id")))
 def q_search_kwic(spark, sf):
-    toks = clean_tokens(load_corpus(spark, sf))
-    hits = Q.search(M.dfm(toks), Q_KWIC)
-    return Q.search_kwic(hits, toks, ["der", "die"])
+    return Q.search_kwic(clean_tokens(load_corpus(spark, sf)), Q_KWIC)
 
 
 @register("doc_metadata", _sql(*SEARCH_SQL, S.hits_cte(Q_META), body=(
@@ -841,16 +844,14 @@ REBUILT_SQL = (
 @register("rebuild_texts", _sql(PARSED_CTE, REBUILT_SQL.format(col="token"),
                                 body="SELECT doc_id, text FROM rebuilt"))
 def q_rebuild_texts(spark, sf):
-    p = load_parsed(spark, sf)
-    return P.rebuild_texts(P.drop_pos(p, ["PUNCT"]), p)
+    return P.rebuild_texts(load_parsed(spark, sf), P.keep_pos(["PUNCT"]))
 
 
 @register("replace_texts", _sql(PARSED_CTE, REBUILT_SQL.format(col="lemma"), body=(
     "SELECT c.doc_id, c.n_turns, coalesce(r.text, '') AS text FROM (SELECT conv_id AS doc_id, count(*) AS "
     "n_turns FROM conversations GROUP BY conv_id) c LEFT JOIN rebuilt r ON c.doc_id = r.doc_id")))
 def q_replace_texts(spark, sf):
-    p = load_parsed(spark, sf)
-    rebuilt = P.rebuild_texts(P.drop_pos(p, ["PUNCT"]), p, column="lemma")
+    rebuilt = P.rebuild_texts(load_parsed(spark, sf), P.keep_pos(["PUNCT"]), column="lemma")
     conv = (spark.read.parquet(f"{sf}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id"))
             .agg(F.count(F.lit(1)).alias("n_turns"), F.first("text").alias("text")))
     return replace_texts(conv, rebuilt).select("doc_id", "n_turns", "text")
@@ -881,7 +882,7 @@ def q_frequent_lemmas_by_token(spark, sf):
 
 @register("stem_features_en")
 def q_stem_features_en(spark, sf):
-    return A.frequent_terms(stem_features(load_dfm(spark, sf), "english"))
+    return A.frequent_terms(stem_features(load_dfm(spark, sf, materialize=True), "english"))
 
 
 @register("table_view", _sql(*DEFAULT_SQL, "ft AS (" + S.freq_select(limit=None) + ")", body=(

@@ -36,16 +36,22 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; only when unset (tests, local runs) a
-    fresh scratch folder is made. On a cluster the shared folder named in the
-    session is used as is."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the checkpoint folder: ``spark.checkpoint.dir`` of the session
+    (the cluster's shared folder) when set. Only a local-mode session without
+    the setting (tests, bench) gets a fresh scratch folder; a cluster session
+    without it gets None, and callers then recompute instead of
+    checkpointing."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if current:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        return None
     path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
@@ -61,3 +67,12 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    the session's checkpoint folder (it survives lost executors). Without a
+    checkpoint folder the DataFrame is returned as is (recomputed)."""
+    if ensure_checkpoint_dir(df.sparkSession) is None:
+        return df
+    return df.checkpoint(eager=True)

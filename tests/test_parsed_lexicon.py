@@ -36,13 +36,14 @@ def test_pos_counts_golden(p3):
 
 
 def test_rebuild_and_replace(spark, p3):
-    kept = P.drop_pos(p3, ["INTJ", "PUNCT"])
-    rb = dict(rows(P.rebuild_texts(kept, p3)))
+    keep = P.keep_pos(["INTJ", "PUNCT"])
+    rb = dict(rows(P.rebuild_texts(p3, keep)))
     assert rb == {1: "The dog is in the kitchen", 2: "", 3: "The cat is sleeping"}
-    lem = dict(rows(P.rebuild_texts(kept, p3, column="lemma")))
+    lem = dict(rows(P.rebuild_texts(p3, keep, column="lemma")))
     assert lem[3] == "the cat be sleep"
+    assert dict(rows(P.rebuild_texts(p3)))[2] == "No"
     corpus = spark.createDataFrame([(1, "x", "a"), (2, "y", "b"), (3, "z", "c")], "doc_id long, text string, v string")
-    out = {r["doc_id"]: r["text"] for r in replace_texts(corpus, P.rebuild_texts(kept, p3)).collect()}
+    out = {r["doc_id"]: r["text"] for r in replace_texts(corpus, P.rebuild_texts(p3, keep)).collect()}
     assert out[2] == "" and out[1] == "The dog is in the kitchen"
 
 

@@ -86,7 +86,9 @@ def test_highlight_keeps_case_single_pass(spark):
 def test_search_kwic_and_metadata(spark, four_docs, d4):
     toks = clean_tokens(four_docs)
     hits = Q.search(d4, "another")
-    kw = {r["doc_id"]: r["kwic"] for r in Q.search_kwic(hits, toks, ["another"]).collect()}
+    kw = {r["doc_id"]: r["kwic"] for r in Q.search_kwic(toks, "another").collect()}
+    kw2 = {r["doc_id"]: r["kwic"] for r in Q.search_kwic_hits(hits, toks, ["another"]).collect()}
+    assert kw2 == kw
     assert kw == {2: "...this is <strong>another</strong> one...",
                   3: "...and this is yet <strong>another</strong> text..."}
     md = {r["doc_id"]: r["metadata"] for r in Q.doc_metadata(four_docs, ["grp"]).collect()}
