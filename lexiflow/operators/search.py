@@ -162,7 +162,7 @@ def kwic_lines_expr(tokens: Column | str, terms: Sequence[str], window: int = 7)
     def matches(i, words):
         c = F.lower(F.element_at(tok, i)) == words[0]
         for j, w in enumerate(words[1:], start=1):
-            c = c & F.coalesce(F.lower(F.element_at(tok, i + j)) == w, F.lit(False))
+            c = c & F.coalesce(F.lower(F.try_element_at(tok, i + j)) == w, F.lit(False))
         return c
 
     def at(i):

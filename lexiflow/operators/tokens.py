@@ -197,7 +197,7 @@ def _match_len(tok: Column, n: Column, by_len: dict, valuetype: str):
                 c = None
                 for j, w in enumerate(words):
                     p = word_matcher([w], valuetype)
-                    cj = F.coalesce(p(F.element_at(tok, i + j)), F.lit(False)) if j else \
+                    cj = F.coalesce(p(F.try_element_at(tok, i + j)), F.lit(False)) if j else \
                         p(F.element_at(tok, i))
                     c = cj if c is None else (c & cj)
                 if ln > 1:
@@ -226,48 +226,62 @@ def _covers(i):
     return lambda sp: (sp["s"] <= i) & (sp["e"] >= i)
 
 
+def _long_match(lcol: str):
+    return lambda i: F.element_at(F.col(lcol), i) >= 2
+
+
+def _inside(scol: str, i: Column) -> Column:
+    return F.exists(F.col(scol), lambda sp: (sp["s"] < i) & (i <= sp["e"]))
+
+
 def _dictionary_lookup_general(df, entries, valuetype, tokens_col, out_col):
+    """Dictionary with multi-word values. Per key, the longest match length
+    at each position is an array; only positions where a multi-word value
+    matches can block later positions, so the greedy left-to-right choice
+    (a fold) runs over those few candidates and yields the chosen multi-word
+    spans. A position then starts a match of the key when some value matches
+    there and it lies inside no chosen span of that key. Keys with only
+    single-word values are tested on the token itself."""
     tok = F.col(tokens_col)
     n = F.size(tok)
     positions = F.sequence(F.lit(1), n)
-    key_cols = []
+    tmp_cols = []
     work = df
-    span_cols = []
+    keys = []  # (KEY, start(i) -> Column, inside(i) -> Column | None)
+    span_t = "array<struct<s:int,e:int>>"
     for idx, (key, vals) in enumerate(entries):
+        words = [_split_value(v) for v in vals]
+        if all(len(w) == 1 for w in words):
+            pred = word_matcher([w[0] for w in words], valuetype)
+            keys.append((key.upper(), (lambda i, pred=pred: pred(F.element_at(tok, i))), None))
+            continue
         by_len: dict[int, list[list[str]]] = {}
-        for v in vals:
-            words = _split_value(v)
-            by_len.setdefault(len(words), []).append(words)
-
-        match_len = _match_len(tok, n, by_len, valuetype)
-
-        lcol = f"__dl{idx}"
-        scol = f"__ds{idx}"
-        work = work.withColumn(lcol, F.when(n > 0, F.transform(positions, match_len))
+        for w in words:
+            by_len.setdefault(len(w), []).append(w)
+        lcol, ccol, scol = f"__dl{idx}", f"__dc{idx}", f"__ds{idx}"
+        work = work.withColumn(lcol, F.when(n > 0, F.transform(positions, _match_len(tok, n, by_len, valuetype)))
+                               .otherwise(F.array().cast("array<int>")))
+        work = work.withColumn(ccol, F.when(n > 0, F.filter(positions, _long_match(lcol)))
                                .otherwise(F.array().cast("array<int>")))
-        # greedy leftmost-longest, non-overlapping spans of this key
-        init = F.struct(F.lit(0).alias("last"),
-                        F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-        work = work.withColumn(scol, F.when(n > 0, F.aggregate(
-            positions, init,
-            _greedy_step(lcol),
-            lambda acc: acc["spans"])).otherwise(F.array().cast("array<struct<s:int,e:int>>")))
-        span_cols.append((key.upper(), scol))
-        key_cols += [lcol, scol]
+        init = F.struct(F.lit(0).alias("last"), F.array().cast(span_t).alias("spans"))
+        work = work.withColumn(scol, F.aggregate(F.col(ccol), init, _greedy_step(lcol),
+                                                 lambda acc: acc["spans"]))
+        tmp_cols += [lcol, ccol, scol]
+        keys.append((key.upper(),
+                     (lambda i, lcol=lcol, scol=scol: (F.element_at(F.col(lcol), i) >= 1) & ~_inside(scol, i)),
+                     (lambda i, scol=scol: _inside(scol, i))))
 
     def at(i):
-        here = F.array_compact(F.array(*[
-            F.when(F.exists(F.col(sc), _starts_at(i)), F.lit(k))
-            for k, sc in span_cols]))
-        covered = None
-        for _, sc in span_cols:
-            c = F.exists(F.col(sc), _covers(i))
-            covered = c if covered is None else (covered | c)
+        here = F.array_compact(F.array(*[F.when(start(i), F.lit(k)) for k, start, _ in keys]))
+        covered = F.size(here) > 0
+        for _, _, inside in keys:
+            if inside is not None:
+                covered = covered | inside(i)
         return F.when(covered, here).otherwise(F.array(F.element_at(tok, i)))
 
     work = work.withColumn(out_col, fence(F.when(n > 0, F.flatten(F.transform(positions, at)))
                                           .otherwise(_empty())))
-    return work.drop(*key_cols)
+    return work.drop(*tmp_cols)
 
 
 def clean_tokens(df: DataFrame, opts: TextOptions = TextOptions(), text_col: str = "text",

@@ -95,3 +95,34 @@ def test_tokens_array_not_recomputed_by_filters(spark, four_docs):
     d = dfm(clean_tokens(four_docs, TextOptions(ngrams=(1, 2))))
     plan = d.long.filter(F.col("n") > 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def _brute_lookup(tokens, entries):
+    """Greedy leftmost-longest per key, keys replace spans at their start."""
+    n = len(tokens)
+    starts, covered = [set() for _ in entries], set()
+    for k, (_, vals) in enumerate(entries):
+        seqs = sorted((v.split() for v in vals), key=len, reverse=True)
+        last = 0
+        for i in range(1, n + 1):
+            ln = next((len(s) for s in seqs if tokens[i - 1:i - 1 + len(s)] == s), 0)
+            if ln and i > last:
+                starts[k].add(i)
+                covered.update(range(i, i + ln))
+                last = i + ln - 1
+    out = []
+    for i in range(1, n + 1):
+        here = [key.upper() for k, (key, _) in enumerate(entries) if i in starts[k]]
+        out.extend(here if i in covered else [tokens[i - 1]])
+    return out
+
+
+def test_dictionary_multiword_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    entries = [("ab", ["a b", "a"]), ("bb", ["b b", "b c a"]), ("c", ["c"])]
+    docs = [[rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in range(60)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id long, tokens array<string>")
+    got = {r["doc_id"]: r["tokens"] for r in dictionary_lookup(df, entries, "fixed").collect()}
+    for i, d in enumerate(docs):
+        assert got[i] == _brute_lookup(d, entries), d
