@@ -57,6 +57,36 @@ def token_pattern(opts: TextOptions) -> str:
     return "|".join(alts)
 
 
+def number_word(split_hyphens: bool) -> str:
+    """A word of the word alternative made of digits only: digits not
+    followed by a character that would extend the word (Java look-ahead;
+    used only by the Spark side, see ``kept_token_pattern``)."""
+    joiners = "['’]" if split_hyphens else "['’-]"
+    return r"\p{N}+(?![\p{L}\p{M}\p{N}_]|" + joiners + r"_*[\p{L}\p{N}])"
+
+
+def kept_token_pattern(opts: TextOptions) -> str:
+    """``token_pattern`` with the removed classes folded in: URLs (when
+    removed) and numbers (when removed) are alternatives outside capture
+    group 1, so extracting group 1 gives ``''`` for them and the kept tokens
+    otherwise. Alternatives that can start at the same character keep their
+    relative order, so every match is the one ``token_pattern`` makes; only
+    the class filters on each token disappear."""
+    dropped, kept = [], []
+    (dropped if opts.remove_url else kept).append(URL)
+    if not opts.remove_twitter:
+        kept.append(TAG)
+    if opts.remove_numbers:
+        dropped += [DECIMAL, number_word(opts.remove_hyphens)]
+    else:
+        kept.append(DECIMAL)
+    kept.append(word_pattern(opts.remove_hyphens))
+    other = other_class(opts)
+    if other:
+        kept.append(other)
+    return "|".join(dropped + ["(" + "|".join(kept) + ")"])
+
+
 def glob_to_regex(pattern: str) -> str:
     """Anchored, case-insensitive regex for a glob (``*`` any run, ``?`` one
     character); every other character is literal."""

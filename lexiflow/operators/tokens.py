@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fence
-from ..functions.patterns import (NUMBER_TOKEN, URL_PREFIXES, glob_to_regex,
-                                  quote_regex, token_pattern)
+from ..functions.patterns import (NUMBER_TOKEN, URL_PREFIXES, glob_to_regex, kept_token_pattern,
+                                  token_pattern)
 from ..options import RAW, TextOptions
 
 
@@ -24,7 +24,27 @@ def _empty() -> Column:
 
 
 def tokens_expr(text: Column | str, opts: TextOptions = TextOptions()) -> Column:
-    """Word tokens of a text column after the removal switches."""
+    """Word tokens of a text column after the removal switches.
+
+    One regex pass: removed URLs and numbers are matched outside the capture
+    group and come out as ``''`` (dropped by an equality test), so no
+    per-token regex filter runs. ``token_pattern`` with the explicit filters
+    below is the same tokenizer written for engines without look-ahead (the
+    SQL oracle)."""
+    text = F.col(text) if isinstance(text, str) else text
+    if opts.remove_url or opts.remove_numbers:
+        toks = F.regexp_extract_all(text, F.lit(kept_token_pattern(opts)), 1)
+        toks = F.filter(toks, lambda t: t != "")
+    else:
+        toks = F.regexp_extract_all(text, F.lit(token_pattern(opts)), 0)
+    if opts.lowercase:
+        toks = F.transform(toks, F.lower)
+    return F.coalesce(toks, _empty())
+
+
+def tokens_expr_filtered(text: Column | str, opts: TextOptions = TextOptions()) -> Column:
+    """Reference form of ``tokens_expr``: extract all tokens, then filter the
+    removed classes token by token."""
     text = F.col(text) if isinstance(text, str) else text
     toks = F.regexp_extract_all(text, F.lit(token_pattern(opts)), 0)
     drops = []

@@ -574,15 +574,6 @@ def q_search_by_numeric(spark, sf):
     return Q.search_by_group(_hits(spark, sf, Q_MAIN, labels=True), "quality")
 
 
-@register("search_series_lang", "WITH g AS (" + _by_group_sql("lang")[len("WITH "):].replace(
-    "SELECT lang AS \"group\"", "), tab AS (SELECT lang AS \"group\"", 1) + ") SELECT *, CAST(row_number() "
-    "OVER (ORDER BY prop_docs, \"group\" NULLS FIRST) AS BIGINT) AS \"order\" FROM tab WHERE prop_docs > 0"
-    if False else None)
-def q_search_series_lang(spark, sf):
-    s = Q.search_series(Q.search_by_group(_hits(spark, sf, Q_MAIN), "lang"), "categorical", "prop_docs")
-    return s.withColumn("order", F.col("order").cast("bigint"))
-
-
 def _series_sql(by: str, kind: str) -> str:
     base = _by_group_sql(by)
     head, body = base.split(" SELECT " + by + " AS \"group\"", 1)
@@ -593,7 +584,10 @@ def _series_sql(by: str, kind: str) -> str:
             + order + ") AS BIGINT) AS \"order\" FROM tab" + where)
 
 
-SQL["search_series_lang"] = _series_sql("lang", "categorical")
+@register("search_series_lang", _series_sql("lang", "categorical"))
+def q_search_series_lang(spark, sf):
+    s = Q.search_series(Q.search_by_group(_hits(spark, sf, Q_MAIN), "lang"), "categorical", "prop_docs")
+    return s.withColumn("order", F.col("order").cast("bigint"))
 
 
 @register("search_series_numeric", _series_sql("n_chars", "numeric"))

@@ -5,7 +5,7 @@ list functions and the same regular expressions (RE2 reads them as Java
 does). Only used to write ``oracle_sql()`` strings."""
 from __future__ import annotations
 
-from ..functions.patterns import NUMBER_TOKEN, URL_PREFIXES, glob_to_regex, sql_string, token_pattern
+from ..functions.patterns import NUMBER_TOKEN, URL_PREFIXES, sql_string, token_pattern
 from ..operators.tokens import _single_pattern_pred, _split_value
 from ..options import TextOptions
 

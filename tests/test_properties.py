@@ -52,3 +52,10 @@ def test_nested_and_long_paths_agree(docs):
     a = sorted(tuple(r) for r in Q.search(d, "the & !of").select("doc_id", "n").collect())
     b = sorted(tuple(r) for r in Q.search(M.to_long(d), "the & !of").select("doc_id", "n").collect())
     assert a == b
+
+
+def test_folded_tokenizer_equals_filtered_on_corpus(docs):
+    from lexiflow.operators.tokens import tokens_expr, tokens_expr_filtered
+    for opts in (TextOptions(), TextOptions(remove_hyphens=False), TextOptions(remove_twitter=True)):
+        diff = docs.filter(tokens_expr("text", opts) != tokens_expr_filtered("text", opts))
+        assert diff.count() == 0

@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
 from lexiflow.operators.tokens import (clean_tokens, corpus_remove_words, dictionary_lookup,
                                        ngrams_expr, remove_stopwords_expr, tokenize)
 from lexiflow.options import RAW, TextOptions
@@ -126,3 +125,16 @@ def test_dictionary_multiword_matches_brute_force(spark):
     got = {r["doc_id"]: r["tokens"] for r in dictionary_lookup(df, entries, "fixed").collect()}
     for i, d in enumerate(docs):
         assert got[i] == _brute_lookup(d, entries), d
+
+
+def test_folded_pattern_equals_filtered_form(spark):
+    from lexiflow.operators.tokens import tokens_expr, tokens_expr_filtered
+    texts = ["12 1.5 2day 12'3 7-8 x-9 9x 1. ,5 4,000.25 https://a.b 3'a 3’ 42- ٣٤ _1 1_",
+             "a-1 1-a 3rd 1,000 http://x.y/z?q=1 end 12's", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for opts in (TextOptions(), TextOptions(remove_hyphens=False), TextOptions(remove_url=False),
+                 TextOptions(remove_numbers=False), TextOptions(remove_twitter=True),
+                 TextOptions(remove_punct=False, remove_symbols=False, lowercase=False)):
+        got = df.select(tokens_expr("text", opts).alias("a"), tokens_expr_filtered("text", opts).alias("b"))
+        for r in got.collect():
+            assert r["a"] == r["b"], (opts, r)
