@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_broadcast
 from .dfm import Dfm
 
+MAX_BROADCAST_DOCS = 1_000_000
+
 METHODS = ("correlation", "cosine", "jaccard")
 
 
@@ -28,7 +31,10 @@ def _stats(d: Dfm, term: str) -> DataFrame:
         # the long table: both sides then share one exchange
         y = d.long_df.filter(F.when(F.col("term") == term, F.col("n")).isNotNull()) \
             .select(idc, F.col("n").alias("__y"))
-        long = d.long_df.join(y, idc, "left")
+        # at most one row per document: broadcast when the document table is
+        # measured small (e.g. a grouped dfm, where a hot group would skew a
+        # shuffle join); otherwise a shuffle join on an id without skew
+        long = d.long_df.join(bounded_broadcast(y, MAX_BROADCAST_DOCS, probe=d.docs), idc, "left")
     x = F.col("n").cast("double")
     yy = F.col("__y").cast("double")
     return long.groupBy("term").agg(

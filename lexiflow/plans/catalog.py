@@ -631,9 +631,10 @@ def q_missing_terms(spark, sf):
     "SELECT h.doc_id, regexp_replace(d.text, '(?i)(de|la)', '<span class=''highlight''>\\1</span>', 'g') "
     "AS text FROM hits h JOIN docs d ON h.doc_id = d.doc_id WHERE h.n > 0")))
 def q_search_highlight(spark, sf):
-    hits = _hits(spark, sf, "de | la").filter(F.col("n") > 0)
-    t = with_raw(hits, load_corpus(spark, sf), as_col="text")
-    return t.select("doc_id", Q.highlight_expr("text", ["de", "la"]).alias("text"))
+    # the text rides along in the document row: no join back to the corpus
+    toks = clean_tokens(load_corpus(spark, sf), keep_text=True)
+    hits = Q.search(M.dfm(toks), "de | la").filter(F.col("n") > 0)
+    return hits.select("doc_id", Q.highlight_expr("text", ["de", "la"]).alias("text"))
 
 
 RAW_SQL = [S.docs_cte(lowercase_text=True), _toks_cte(), S.dfm_cte()]
