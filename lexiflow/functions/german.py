@@ -1,0 +1,77 @@
+"""German stemmer (the Snowball German algorithm, from its published
+description). Per-word helper run on the distinct vocabulary only."""
+from __future__ import annotations
+
+VOWELS = set("aeiouyäöü")
+S_ENDING = set("bdfghklmnrt")
+ST_ENDING = set("bdfghklmnt")
+
+
+def _regions(w: str) -> tuple[int, int]:
+    def region(start: int) -> int:
+        for i in range(start + 1, len(w)):
+            if w[i] not in VOWELS and w[i - 1] in VOWELS:
+                return i + 1
+        return len(w)
+    r1 = region(0)
+    r2 = region(r1)  # from the standard R1
+    return max(r1, 3), r2
+
+
+def stem(word: str) -> str:
+    if word is None:
+        return None
+    w = word.replace("ß", "ss")
+    # u and y between vowels are consonants
+    chars = list(w)
+    for i in range(1, len(chars) - 1):
+        if chars[i] in "uy" and chars[i - 1] in VOWELS and chars[i + 1] in VOWELS:
+            chars[i] = chars[i].upper()
+    w = "".join(chars)
+    r1, r2 = _regions(w)
+    # step 1
+    for suf in ("ern", "em", "er", "en", "es", "e", "s"):
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r1:
+                if suf == "s":
+                    if len(w) >= 2 and w[-2] in S_ENDING:
+                        w = w[:-1]
+                else:
+                    w = w[: -len(suf)]
+                    if suf in ("en", "es", "e") and w.endswith("niss"):
+                        w = w[:-1]
+            break
+    # step 2
+    for suf in ("est", "en", "er", "st"):
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r1:
+                if suf == "st":
+                    if len(w) >= 6 and w[-3] in ST_ENDING:
+                        w = w[:-2]
+                else:
+                    w = w[: -len(suf)]
+            break
+    # step 3: d-suffixes
+    for suf in ("isch", "lich", "heit", "keit", "end", "ung", "ig", "ik"):
+        if w.endswith(suf):
+            if len(w) - len(suf) >= r2:
+                base = w[: -len(suf)]
+                if suf in ("end", "ung"):
+                    w = base
+                    if w.endswith("ig") and len(w) - 2 >= r2 and not w.endswith("eig"):
+                        w = w[:-2]
+                elif suf in ("ig", "ik", "isch"):
+                    if not base.endswith("e"):
+                        w = base
+                elif suf in ("lich", "heit"):
+                    w = base
+                    if (w.endswith("er") or w.endswith("en")) and len(w) - 2 >= r1:
+                        w = w[:-2]
+                else:  # keit
+                    w = base
+                    if w.endswith("lich") and len(w) - 4 >= r2:
+                        w = w[:-4]
+                    elif w.endswith("ig") and len(w) - 2 >= r2:
+                        w = w[:-2]
+            break
+    return w.replace("U", "u").replace("Y", "y").replace("ä", "a").replace("ö", "o").replace("ü", "u")

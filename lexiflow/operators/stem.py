@@ -3,25 +3,29 @@
 The stemmer is a per-word Python helper, so it runs once per *distinct*
 term: Spark makes the vocabulary distinct (partial aggregation), stems it
 in Arrow batches with ``mapInPandas``, joins the mapping back on the term
-and sums the counts of terms that share a stem. AQE turns the join into a
-broadcast only when the mapping is measured small at run time; otherwise
-it stays a shuffle join whose skewed partitions AQE splits.
+and sums the counts of terms that share a stem. The mapping is broadcast
+only when the vocabulary is counted under a bound; otherwise the join is a
+shuffle join whose skewed partitions AQE splits.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_broadcast
 from .dfm import Dfm
 
-LANGUAGES = ("english", "porter")
+LANGUAGES = ("english", "german")
+MAX_BROADCAST_TERMS = 2_000_000
 
 
 def _stem_batches(language: str):
     def run(batches):
-        from lexiflow.functions.porter import stem_term
+        from lexiflow.functions import german, porter
+        one = porter.stem if language == "english" else german.stem
         for pdf in batches:
-            pdf["stem"] = [stem_term(t) for t in pdf["term"]]
+            pdf["stem"] = ["_".join(one(p) for p in t.split("_")) if t is not None else None
+                           for t in pdf["term"]]
             yield pdf[["term", "stem"]]
     return run
 
@@ -35,10 +39,15 @@ def stem_vocabulary(terms: DataFrame, language: str = "english") -> DataFrame:
 
 def stem_features(d: Dfm, language: str = "english") -> Dfm:
     """Replace features by their stems and merge counts (M3); the parts of
-    n-gram features are stemmed one by one."""
+    n-gram features are stemmed one by one. Call it on a materialized dfm
+    (``Dfm.materialize``): the dfm is read for the vocabulary and again for
+    the counts."""
     idc = d.id_col
     vocab = d.long.select("term").distinct()
     mapping = stem_vocabulary(vocab, language)
+    # broadcast when the vocabulary is measured small enough; otherwise a
+    # shuffle join by term (AQE splits a skewed term partition)
+    mapping = bounded_broadcast(mapping, MAX_BROADCAST_TERMS, probe=vocab)
     long_df = (d.long.join(mapping, "term")
                .groupBy(idc, F.col("stem").alias("term")).agg(F.sum("n").alias("n")))
     return Dfm(docs=d.docs, long_df=long_df, id_col=idc, value_type=d.value_type)

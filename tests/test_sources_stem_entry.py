@@ -64,4 +64,14 @@ def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.columns == ["term", "nb_terms", "nb_docs", "prop_docs"] and out.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
-    assert set(qs) - set(sql) == {"stem_features_en"}
+    assert set(qs) - set(sql) == {"stem_features_en", "stem_features_de"}
+
+
+def test_german_stems(spark):
+    from lexiflow.functions.german import stem as gstem
+    pairs = {"aufeinanderfolgenden": "aufeinanderfolg", "häuser": "haus", "kenntnisse": "kenntnis",
+             "abendlich": "abend", "häufigkeit": "haufig", "ließ": "liess", "zeitungen": "zeitung"}
+    assert {w: gstem(w) for w in pairs} == pairs
+    docs = spark.createDataFrame([(1, "Häuser Haus Zeitungen Zeitung")], "doc_id long, text string")
+    d = stem_features(M.dfm(clean_tokens(docs)), "german")
+    assert sorted(rows(d.long)) == [(1, "haus", 2), (1, "zeitung", 2)]
