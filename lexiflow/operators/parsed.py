@@ -53,23 +53,30 @@ def keep_pos(pos: Sequence[str]) -> Column:
     return ~F.coalesce(F.col("pos").isin(list(pos)), F.lit(False))
 
 
-def frequent_lemmas(parsed: DataFrame, all_docs: DataFrame | None = None,
-                    unit: str = "document", limit: int | None = 10000) -> DataFrame:
-    """Frequent-terms table of lowercased lemmas (A17): ``term, nb_terms,
-    nb_docs, prop_docs``. ``unit="document"`` counts documents (D10);
-    ``unit="token"`` makes each token row its own document, as the
-    reference did."""
-    base = all_docs if all_docs is not None else parsed
+def frequent_lemmas(parsed: DataFrame, keep: Column | None = None, unit: str = "document",
+                    limit: int | None = 10000) -> DataFrame:
+    """Frequent-terms table of lowercased lemmas of the kept tokens (A17):
+    ``term, nb_terms, nb_docs, prop_docs``; ``keep`` is a row condition such
+    as ``keep_pos([...])``. ``unit="document"`` counts documents (D10), the
+    share is of all documents of the table; ``unit="token"`` makes each token
+    row its own document, as the reference did.
+
+    One aggregation over the whole table: the condition is counted inside
+    it, and the denominator comes from the same aggregate (both branches
+    keep every aggregate column, so Spark reuses the exchange)."""
     lem = F.lower(F.col("lemma"))
+    kept = F.count_if(keep) if keep is not None else F.count(F.lit(1))
     if unit == "token":
-        n = base.agg(F.count(F.lit(1)).alias("__N"))
-        t = parsed.groupBy(lem.alias("term")).agg(F.count(F.lit(1)).alias("nb_terms")) \
-            .withColumn("nb_docs", F.col("nb_terms"))
+        agg = parsed.groupBy(lem.alias("term")).agg(kept.alias("c"), F.count(F.lit(1)).alias("rows"))
+        agg = agg.filter((F.col("c") + F.col("rows")) >= 0)
+        n = agg.agg(F.sum("rows").alias("__N"))
+        t = agg.filter(F.col("c") > 0).select("term", F.col("c").alias("nb_terms"), F.col("c").alias("nb_docs"))
     else:
-        n = base.agg(F.count_distinct("doc_id").alias("__N"))
-        per_doc = parsed.groupBy("doc_id", lem.alias("term")).agg(F.count(F.lit(1)).alias("c"))
-        t = per_doc.groupBy("term").agg(F.sum("c").alias("nb_terms"),
-                                        F.count(F.lit(1)).alias("nb_docs"))
+        per_doc = parsed.groupBy("doc_id", lem.alias("term")).agg(kept.alias("c"))
+        per_doc = per_doc.filter(F.col("c") >= 0)
+        n = per_doc.agg(F.count_distinct("doc_id").alias("__N"))
+        t = (per_doc.filter(F.col("c") > 0).groupBy("term")
+             .agg(F.sum("c").alias("nb_terms"), F.count(F.lit(1)).alias("nb_docs")))
     out = t.crossJoin(F.broadcast(n)).select(
         "term", "nb_terms", "nb_docs",
         F.round(F.col("nb_docs") / F.col("__N") * 100, 2).alias("prop_docs"))

@@ -859,8 +859,7 @@ def q_replace_texts(spark, sf):
     "pos NOT IN ('PUNCT') GROUP BY doc_id, lower(lemma)) GROUP BY term ORDER BY nb_terms DESC, term "
     "LIMIT 10000")))
 def q_frequent_lemmas(spark, sf):
-    p = load_parsed(spark, sf)
-    return P.frequent_lemmas(P.drop_pos(p, ["PUNCT"]), p)
+    return P.frequent_lemmas(load_parsed(spark, sf), P.keep_pos(["PUNCT"]))
 
 
 @register("frequent_lemmas_by_token", _sql(PARSED_CTE, body=(
@@ -869,8 +868,7 @@ def q_frequent_lemmas(spark, sf):
     "WHERE pos IS NULL OR pos NOT IN ('PUNCT') GROUP BY lower(lemma) ORDER BY nb_terms DESC, term "
     "LIMIT 10000")))
 def q_frequent_lemmas_by_token(spark, sf):
-    p = load_parsed(spark, sf)
-    return P.frequent_lemmas(P.drop_pos(p, ["PUNCT"]), p, unit="token")
+    return P.frequent_lemmas(load_parsed(spark, sf), P.keep_pos(["PUNCT"]), unit="token")
 
 
 # ------------------------------------------------- 10. stem, table view

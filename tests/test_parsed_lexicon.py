@@ -48,10 +48,11 @@ def test_rebuild_and_replace(spark, p3):
 
 
 def test_frequent_lemmas(p3):
-    fl = {r["term"]: r for r in P.frequent_lemmas(P.drop_pos(p3, ["PUNCT"]), p3).collect()}
+    fl = {r["term"]: r for r in P.frequent_lemmas(p3, P.keep_pos(["PUNCT", "INTJ"])).collect()}
     assert fl["the"]["nb_terms"] == 3 and fl["the"]["nb_docs"] == 2 and fl["the"]["prop_docs"] == 66.67
+    assert "." not in fl and "no" not in fl
     ft = {r["term"]: r for r in P.frequent_lemmas(p3, unit="token").collect()}
-    assert ft["the"]["nb_docs"] == 3
+    assert ft["the"]["nb_docs"] == 3 and ft["the"]["prop_docs"] == round(3 / 13 * 100, 2)
 
 
 def test_dictionary_text_rules(spark):
