@@ -82,8 +82,9 @@ def remove_stopwords_expr(tokens: Column | str, stopwords: Iterable[str]) -> Col
 
 
 def _gram(tokens: Column, k: int, sep: str):
-    # one-parameter lambda: PySpark reads a second parameter as the index
-    return lambda i: F.array_join(F.slice(tokens, i, k), sep)
+    # one-parameter lambda: PySpark reads a second parameter as the index;
+    # the k parts are read in place (no slice array per n-gram)
+    return lambda i: F.concat_ws(sep, *[F.element_at(tokens, i + j) for j in range(k)])
 
 
 def ngrams_expr(tokens: Column | str, sizes: Sequence[int] = (1,), sep: str = "_") -> Column:
