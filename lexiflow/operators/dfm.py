@@ -203,12 +203,10 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
     elif scheme == "logfreq":
         val = 1 + F.log10("n")
     elif scheme == "tfidf":
-        ndoc = d.docs.agg(F.count(F.lit(1)).alias("__N"))
+        ndoc = d.docs.agg(F.count(F.lit(1))).scalar()  # one value, no join
         dfreq = long_df.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
-        long_df = (long_df.join(dfreq, "term")
-                   # one row, size fixed: safe to broadcast
-                   .crossJoin(F.broadcast(ndoc)))
-        val = F.col("n") * F.log10(F.col("__N") / F.col("__df"))
+        long_df = long_df.join(dfreq, "term")
+        val = F.col("n") * F.log10(ndoc / F.col("__df"))
     else:
         raise ValueError(f"unknown weight scheme {scheme!r}")
     long_df = long_df.select(idc, "term", val.cast("double").alias("n"))

@@ -69,16 +69,16 @@ def frequent_lemmas(parsed: DataFrame, keep: Column | None = None, unit: str = "
     if unit == "token":
         agg = parsed.groupBy(lem.alias("term")).agg(kept.alias("c"), F.count(F.lit(1)).alias("rows"))
         agg = agg.filter((F.col("c") + F.col("rows")) >= 0)
-        n = agg.agg(F.sum("rows").alias("__N"))
+        n = agg.agg(F.sum("rows"))
         t = agg.filter(F.col("c") > 0).select("term", F.col("c").alias("nb_terms"), F.col("c").alias("nb_docs"))
     else:
         per_doc = parsed.groupBy("doc_id", lem.alias("term")).agg(kept.alias("c"))
         per_doc = per_doc.filter(F.col("c") >= 0)
-        n = per_doc.agg(F.count_distinct("doc_id").alias("__N"))
+        n = per_doc.agg(F.count_distinct("doc_id"))
         t = (per_doc.filter(F.col("c") > 0).groupBy("term")
              .agg(F.sum("c").alias("nb_terms"), F.count(F.lit(1)).alias("nb_docs")))
-    out = t.crossJoin(F.broadcast(n)).select(
-        "term", "nb_terms", "nb_docs",
-        F.round(F.col("nb_docs") / F.col("__N") * 100, 2).alias("prop_docs"))
+    # the denominator is a scalar subquery (one value), no join
+    out = t.select("term", "nb_terms", "nb_docs",
+                   F.round(F.col("nb_docs") / n.scalar() * 100, 2).alias("prop_docs"))
     out = out.orderBy(F.desc("nb_terms"), F.asc("term"))
     return out.limit(limit) if limit else out

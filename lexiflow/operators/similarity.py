@@ -70,12 +70,12 @@ def term_similarity(d: Dfm, term: str, method: str = "correlation") -> DataFrame
     # exchange and Spark reuses it (one pass over the texts).
     whole = F.when(F.col("term") == term, F.col("sx") + F.col("sxx") + F.col("dfx")
                    + F.col("sxy") + F.col("common"))
-    ystats = s.filter(whole.isNotNull()).select(
-        F.col("sx").alias("sy"), F.col("sxx").alias("syy"), F.col("dfx").alias("dfy"))
-    ndoc = d.docs.agg(F.count(F.lit(1)).cast("double").alias("N"))
-    # both sides are one row: broadcast size is fixed
-    t = s.crossJoin(F.broadcast(ystats)).crossJoin(F.broadcast(ndoc))
-    n, c = F.col("N"), F.col("common").cast("double")
+    # the chosen term's statistics and N are scalar subqueries (one value
+    # each, no join); an absent term gives NULL and an empty result
+    y = s.filter(whole.isNotNull()).select(F.struct("sx", "sxx", "dfx")).scalar()
+    n = d.docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    t = s.filter(y.isNotNull()).withColumns({"sy": y["sx"], "syy": y["sxx"], "dfy": y["dfx"]})
+    c = F.col("common").cast("double")
     dfx, dfy = F.col("dfx").cast("double"), F.col("dfy").cast("double")
     if method == "correlation":
         sim = _corr(n, F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("sxy"))

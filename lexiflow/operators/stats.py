@@ -2,8 +2,8 @@
 
 Every aggregate by term uses partial aggregation before its shuffle, so a
 term present in most documents costs one row per map task. The number of
-documents is a one-row aggregate of the document table, cross-joined as a
-broadcast (its size is fixed at one row)."""
+documents is a scalar subquery over the document table: one value, no
+join."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -16,17 +16,17 @@ from .dfm import Dfm, term_totals
 FREQUENT_TERMS_MAX = 10000
 
 
-def _with_ndoc(df: DataFrame, d: Dfm, name: str = "__N") -> DataFrame:
-    n = d.docs.agg(F.count(F.lit(1)).alias(name))
-    return df.crossJoin(F.broadcast(n))
+def ndoc_scalar(d: Dfm):
+    """Number of documents as a scalar subquery: computed once, used as a
+    value in expressions (no join)."""
+    return d.docs.agg(F.count(F.lit(1))).scalar()
 
 
 def frequent_terms(d: Dfm, limit: int | None = FREQUENT_TERMS_MAX) -> DataFrame:
     """``term, nb_terms, nb_docs, prop_docs`` ordered by frequency (A1-A4).
     ``prop_docs`` is the share of *all* documents, 2 decimals."""
-    t = _with_ndoc(term_totals(d), d)
-    out = t.select("term", "nb_terms", "nb_docs",
-                   F.round(F.col("nb_docs") / F.col("__N") * 100, 2).alias("prop_docs"))
+    out = term_totals(d).select("term", "nb_terms", "nb_docs",
+                                F.round(F.col("nb_docs") / ndoc_scalar(d) * 100, 2).alias("prop_docs"))
     out = out.orderBy(F.desc("nb_terms"), F.asc("term"))
     return out.limit(limit) if limit else out
 
@@ -86,12 +86,12 @@ def comparison_terms(d: Dfm, by: str, max_words: int = 30, max_groups: int = 100
     gt = long.groupBy(by, "term").agg(F.sum("n").alias("n"))
     tot = gt.groupBy(by).agg(F.sum("n").alias("__tot"))
     groups = d.docs.filter(F.col(by).isNotNull()).select(by).distinct()
-    ngroups = groups.agg(F.count(F.lit(1)).alias("__G"))
+    ngroups = groups.agg(F.count(F.lit(1))).scalar()
     tot = bounded_broadcast(tot, max_groups, probe=groups)
     w = Window.partitionBy("term")
-    dev = (gt.join(tot, by).crossJoin(F.broadcast(ngroups))
+    dev = (gt.join(tot, by)
            .withColumn("rate", F.col("n") / F.col("__tot"))
-           .withColumn("deviation", F.col("rate") - F.sum("rate").over(w) / F.col("__G")))
+           .withColumn("deviation", F.col("rate") - F.sum("rate").over(w) / ngroups))
     best = dev.groupBy("term").agg(
         F.max_by(F.struct(F.col("deviation"), F.col(by)), F.struct(F.col("deviation"), F.col(by)))
         .alias("b"))

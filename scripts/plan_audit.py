@@ -1,24 +1,16 @@
-"""Print shuffle / broadcast counts of each registered query's physical plan."""
-import re
+"""Print the plan shape of each registered query (final adaptive plans)."""
 import sys
 
 sys.path.insert(0, "/root/repo")
+from lexiflow.plans.audit import plan_shape  # noqa: E402
 from lexiflow.plans.catalog import QUERIES  # noqa: E402
 from lexiflow.session import local_session  # noqa: E402
 
 spark = local_session(8)
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-names = sys.argv[2:] or list(QUERIES)
-for name in names:
+for name in sys.argv[2:] or list(QUERIES):
     df = QUERIES[name](spark, sf)
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    tok = plan.count("regexp_extract_all(")
-    reused = plan.count("ReusedExchange")
-    ex = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan))
-    rr = len(re.findall(r"RoundRobinPartitioning", plan))
-    bc = len(re.findall(r"BroadcastExchange", plan))
-    flags = [f for f in ("WindowGroupLimit", "BroadcastNestedLoopJoin", "SortMergeJoin", "BroadcastHashJoin",
-                         "CartesianProduct", "ShuffledHashJoin") if f in plan]
-    print(f"{name:32s} tokenize={tok} reused={reused} shuffles={ex} spread={rr} broadcasts={bc} "
-          f"{' '.join(flags)}")
+    s = plan_shape(df)
+    print(f"{name:32s} tokenize={s['tokenize']} reused={s['reused']} shuffles={s['shuffles']} "
+          f"spread={s['spread']} broadcasts={s['broadcasts']} {' '.join(s['flags'])}")
