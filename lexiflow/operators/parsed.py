@@ -18,14 +18,52 @@ def drop_pos(parsed: DataFrame, pos: Sequence[str]) -> DataFrame:
     return parsed.filter(keep_pos(pos))
 
 
-def token_context(parsed: DataFrame, col: str = "token") -> DataFrame:
+CONTEXT_BUCKET = 100_000
+
+
+def token_context(parsed: DataFrame, col: str = "token", bucket: int = CONTEXT_BUCKET) -> DataFrame:
     """Context of 5 tokens around each token, blanks at the edges (W1-W3):
-    ``prev2 prev1 token next1 next2`` joined by single blanks."""
-    w = Window.partitionBy("doc_id").orderBy("token_pos")
+    ``prev2 prev1 token next1 next2`` joined by single blanks.
+
+    A document may be very long (a hot key), so the window is not by
+    document: tokens are cut into buckets of ``bucket`` positions and the
+    neighbours are read within a (document, bucket) window. The two first
+    and two last tokens of every bucket (at most four rows per bucket) give
+    the neighbours across bucket edges through a second, small window over
+    buckets, joined back on (document, bucket)."""
     t = F.col(col)
-    ctx = F.concat_ws(" ", F.lag(t, 2, "").over(w), F.lag(t, 1, "").over(w), t,
-                      F.lead(t, 1, "").over(w), F.lead(t, 2, "").over(w))
-    return parsed.withColumn("context", ctx)
+    b = parsed.withColumn("__b", F.floor(F.col("token_pos") / F.lit(bucket)))
+    w = Window.partitionBy("doc_id", "__b").orderBy("token_pos")
+    wc = Window.partitionBy("doc_id", "__b")
+    inb = b.select("*", F.lag(t, 1).over(w).alias("__p1"), F.lag(t, 2).over(w).alias("__p2"),
+                   F.lead(t, 1).over(w).alias("__n1"), F.lead(t, 2).over(w).alias("__n2"),
+                   F.row_number().over(w).alias("__rn"), F.count(F.lit(1)).over(wc).alias("__cnt"))
+    # edges: per bucket its first two and last two tokens (bounded rows)
+    edge = (inb.filter((F.col("__rn") <= 2) | (F.col("__rn") > F.col("__cnt") - 2))
+            .groupBy("doc_id", "__b")
+            .agg(F.max(F.when(F.col("__rn") == 1, t)).alias("f1"),
+                 F.max(F.when(F.col("__rn") == 2, t)).alias("f2"),
+                 F.max(F.when(F.col("__rn") == F.col("__cnt"), t)).alias("l1"),
+                 F.max(F.when(F.col("__rn") == F.col("__cnt") - 1, t)).alias("l2"),
+                 F.max("__cnt").alias("c")))
+    wb = Window.partitionBy("doc_id").orderBy("__b")
+    nb = edge.select(
+        "doc_id", "__b",
+        F.lag("l1", 1).over(wb).alias("pl1"),
+        F.when(F.lag("c", 1).over(wb) >= 2, F.lag("l2", 1).over(wb))
+        .otherwise(F.lag("l1", 2).over(wb)).alias("pl2"),
+        F.lead("f1", 1).over(wb).alias("nf1"),
+        F.when(F.lead("c", 1).over(wb) >= 2, F.lead("f2", 1).over(wb))
+        .otherwise(F.lead("f1", 2).over(wb)).alias("nf2"))
+    j = inb.join(nb, ["doc_id", "__b"], "left")
+    rn, cnt = F.col("__rn"), F.col("__cnt")
+    p1 = F.when(rn == 1, F.col("pl1")).otherwise(F.col("__p1"))
+    p2 = F.when(rn == 1, F.col("pl2")).when(rn == 2, F.col("pl1")).otherwise(F.col("__p2"))
+    n1 = F.when(rn == cnt, F.col("nf1")).otherwise(F.col("__n1"))
+    n2 = F.when(rn == cnt, F.col("nf2")).when(rn == cnt - 1, F.col("nf1")).otherwise(F.col("__n2"))
+    ctx = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (p2, p1)], t,
+                      *[F.coalesce(c, F.lit("")) for c in (n1, n2)])
+    return j.select(*parsed.columns, ctx.alias("context"))
 
 
 def pos_counts(parsed: DataFrame) -> DataFrame:

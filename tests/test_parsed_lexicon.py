@@ -66,3 +66,24 @@ def test_dictionary_text_rules(spark):
 
 def test_stopwords_text(spark):
     assert stopword_list(spark, "the, a ,an,of") == ["the", "a", "an", "of"]
+
+
+def test_token_context_buckets_match_one_window(spark):
+    import random
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+    rnd = random.Random(3)
+    data, pos = [], 0
+    for d in range(1, 6):
+        for _ in range(rnd.randint(0, 40)):
+            pos += rnd.choice([1, 1, 1, 2, 9])
+            data.append((d, pos, f"t{rnd.randint(0, 9)}", "x", "NOUN"))
+    p = spark.createDataFrame(data, "doc_id long, token_pos long, token string, lemma string, pos string")
+    w = Window.partitionBy("doc_id").orderBy("token_pos")
+    ref = p.select("doc_id", "token_pos", F.concat_ws(
+        " ", F.lag("token", 2, "").over(w), F.lag("token", 1, "").over(w), "token",
+        F.lead("token", 1, "").over(w), F.lead("token", 2, "").over(w)).alias("context"))
+    want = {(r[0], r[1]): r[2] for r in ref.collect()}
+    for b in (1, 2, 3, 7, 1000):
+        got = {(r["doc_id"], r["token_pos"]): r["context"] for r in P.token_context(p, bucket=b).collect()}
+        assert got == want, b
