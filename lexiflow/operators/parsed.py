@@ -23,7 +23,8 @@ CONTEXT_BUCKET = 100_000
 
 def token_context(parsed: DataFrame, col: str = "token", bucket: int = CONTEXT_BUCKET) -> DataFrame:
     """Context of 5 tokens around each token, blanks at the edges (W1-W3):
-    ``prev2 prev1 token next1 next2`` joined by single blanks.
+    ``doc_id, token_pos, token, context`` with ``prev2 prev1 token next1
+    next2`` joined by single blanks.
 
     A document may be very long (a hot key), so the window is not by
     document: tokens are cut into buckets of ``bucket`` positions and the
@@ -32,7 +33,10 @@ def token_context(parsed: DataFrame, col: str = "token", bucket: int = CONTEXT_B
     the neighbours across bucket edges through a second, small window over
     buckets, joined back on (document, bucket)."""
     t = F.col(col)
-    b = parsed.withColumn("__b", F.floor(F.col("token_pos") / F.lit(bucket)))
+    keep = ["doc_id", "token_pos", col]
+    # rows without a document or a position have no context
+    b = (parsed.select(*keep).filter(F.col("doc_id").isNotNull() & F.col("token_pos").isNotNull())
+         .withColumn("__b", F.floor(F.col("token_pos") / F.lit(bucket))))
     w = Window.partitionBy("doc_id", "__b").orderBy("token_pos")
     wc = Window.partitionBy("doc_id", "__b")
     inb = b.select("*", F.lag(t, 1).over(w).alias("__p1"), F.lag(t, 2).over(w).alias("__p2"),
@@ -41,7 +45,10 @@ def token_context(parsed: DataFrame, col: str = "token", bucket: int = CONTEXT_B
     # edges: per bucket its first two and last two tokens (bounded rows)
     edge = (inb.filter((F.col("__rn") <= 2) | (F.col("__rn") > F.col("__cnt") - 2))
             .groupBy("doc_id", "__b")
-            .agg(F.max(F.when(F.col("__rn") == 1, t)).alias("f1"),
+            # the first row is kept whole: this branch then reads every column of
+            # the window's input, like the main branch, so Spark reuses its exchange
+            .agg(F.max_by(F.struct(*[F.col(c) for c in keep]),
+                          F.when(F.col("__rn") == 1, F.col("token_pos")))[col].alias("f1"),
                  F.max(F.when(F.col("__rn") == 2, t)).alias("f2"),
                  F.max(F.when(F.col("__rn") == F.col("__cnt"), t)).alias("l1"),
                  F.max(F.when(F.col("__rn") == F.col("__cnt") - 1, t)).alias("l2"),
@@ -55,6 +62,9 @@ def token_context(parsed: DataFrame, col: str = "token", bucket: int = CONTEXT_B
         F.lead("f1", 1).over(wb).alias("nf1"),
         F.when(F.lead("c", 1).over(wb) >= 2, F.lead("f2", 1).over(wb))
         .otherwise(F.lead("f1", 2).over(wb)).alias("nf2"))
+    # keys are known non-null in both branches, so no filter is inferred into
+    # one of them: they keep the same plan below the window and share its
+    # exchange, and the join reuses the window's partitioning
     j = inb.join(nb, ["doc_id", "__b"], "left")
     rn, cnt = F.col("__rn"), F.col("__cnt")
     p1 = F.when(rn == 1, F.col("pl1")).otherwise(F.col("__p1"))
@@ -63,7 +73,7 @@ def token_context(parsed: DataFrame, col: str = "token", bucket: int = CONTEXT_B
     n2 = F.when(rn == cnt, F.col("nf2")).when(rn == cnt - 1, F.col("nf1")).otherwise(F.col("__n2"))
     ctx = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (p2, p1)], t,
                       *[F.coalesce(c, F.lit("")) for c in (n1, n2)])
-    return j.select(*parsed.columns, ctx.alias("context"))
+    return j.select(*keep, ctx.alias("context"))
 
 
 def pos_counts(parsed: DataFrame) -> DataFrame:
