@@ -1,0 +1,255 @@
+"""French stemmer (the Snowball French algorithm, from its published
+description). Per-word helper run on the distinct vocabulary only."""
+from __future__ import annotations
+
+VOWELS = set("aeiouyâàëéêèïîôûù")
+KEEP_WITH_S = set("aiouès")
+
+# Suffix tables of the algorithm.
+STEP1 = [
+    # (suffixes, rule)
+    (("ance", "iqUe", "isme", "able", "iste", "eux", "ances", "iqUes", "ismes", "ables", "istes"), "r2_del"),
+    (("atrice", "ateur", "ation", "atrices", "ateurs", "ations"), "ation"),
+    (("logie", "logies"), "logie"),
+    (("usion", "ution", "usions", "utions"), "usion"),
+    (("ence", "ences"), "ence"),
+    (("ement", "ements"), "ement"),
+    (("ité", "ités"), "ite"),
+    (("if", "ive", "ifs", "ives"), "if"),
+    (("eaux",), "eaux"),
+    (("aux",), "aux"),
+    (("euse", "euses"), "euse"),
+    (("issement", "issements"), "issement"),
+    (("amment",), "amment"),
+    (("emment",), "emment"),
+    (("ment", "ments"), "ment"),
+]
+I_VERB = ("îmes", "ît", "îtes", "i", "ie", "ies", "ir", "ira", "irai", "iraIent", "irais", "irait", "iras",
+          "irent", "irez", "iriez", "irions", "irons", "iront", "is", "issaIent", "issais", "issait",
+          "issant", "issante", "issantes", "issants", "isse", "issent", "isses", "issez", "issiez",
+          "issions", "issons", "it")
+VERB_DEL = ("é", "ée", "ées", "és", "èrent", "er", "era", "erai", "eraIent", "erais", "erait", "eras",
+            "erez", "eriez", "erions", "erons", "eront", "ez", "iez")
+VERB_A = ("âmes", "ât", "âtes", "a", "ai", "aIent", "ais", "ait", "ant", "ante", "antes", "ants", "as",
+          "asse", "assent", "asses", "assiez", "assions")
+RESIDUAL = ("ion", "ier", "ière", "Ier", "Ière", "e", "ë")
+UNDOUBLE = ("enn", "onn", "ett", "ell", "eill")
+
+
+def _prelude(w: str) -> str:
+    c = list(w)
+    for i, ch in enumerate(c):
+        prev_v = i > 0 and c[i - 1] in VOWELS
+        next_v = i + 1 < len(c) and c[i + 1] in VOWELS
+        if ch in "ui" and prev_v and next_v:
+            c[i] = ch.upper()
+        elif ch == "y" and (prev_v or next_v):
+            c[i] = "Y"
+        elif ch == "u" and i > 0 and c[i - 1] == "q":
+            c[i] = "U"
+    return "".join(c)
+
+
+def _regions(w: str) -> tuple[int, int, int]:
+    n = len(w)
+    if n >= 2 and w[0] in VOWELS and w[1] in VOWELS:
+        rv = min(3, n)
+    elif w[:3] in ("par", "col", "tap"):
+        rv = 3
+    else:
+        rv = n
+        for i in range(1, n):
+            if w[i] in VOWELS:
+                rv = i + 1
+                break
+
+    def region(start: int) -> int:
+        for i in range(start + 1, n):
+            if w[i] not in VOWELS and w[i - 1] in VOWELS:
+                return i + 1
+        return n
+    r1 = region(0)
+    return rv, r1, region(r1)
+
+
+def _longest(w: str, suffixes, min_start: int = 0) -> str | None:
+    """Longest suffix of ``w`` among ``suffixes`` starting at ``min_start``
+    or later (a search confined to a region only sees suffixes inside it)."""
+    best = None
+    for s in suffixes:
+        if w.endswith(s) and len(w) - len(s) >= min_start and (best is None or len(s) > len(best)):
+            best = s
+    return best
+
+
+def _standard(w: str, rv: int, r1: int, r2: int) -> tuple[str, str]:
+    """Returns (word, outcome): outcome 'done' (step succeeded), 'fail'
+    (nothing removed), or 'go_on' (changed but verb steps still apply)."""
+    best, rule = None, None
+    for sufs, r in STEP1:
+        s = _longest(w, sufs)
+        if s and (best is None or len(s) > len(best)):
+            best, rule = s, r
+    if best is None:
+        return w, "fail"
+    st = len(w) - len(best)
+    base = w[:st]
+    if rule == "r2_del":
+        return (base, "done") if st >= r2 else (w, "fail")
+    if rule == "ation":
+        if st < r2:
+            return w, "fail"
+        w = base
+        if w.endswith("ic"):
+            w = w[:-2] if len(w) - 2 >= r2 else w[:-2] + "iqU"
+        return w, "done"
+    if rule == "logie":
+        return (base + "log", "done") if st >= r2 else (w, "fail")
+    if rule == "usion":
+        return (base + "u", "done") if st >= r2 else (w, "fail")
+    if rule == "ence":
+        return (base + "ent", "done") if st >= r2 else (w, "fail")
+    if rule == "ement":
+        if st < rv:
+            return w, "fail"
+        w = base
+        if w.endswith("iv"):
+            if len(w) - 2 >= r2:
+                w = w[:-2]
+                if w.endswith("at") and len(w) - 2 >= r2:
+                    w = w[:-2]
+        elif w.endswith("eus"):
+            if len(w) - 3 >= r2:
+                w = w[:-3]
+            elif len(w) - 3 >= r1:
+                w = w[:-3] + "eux"
+        elif w.endswith("abl") or w.endswith("iqU"):
+            if len(w) - 3 >= r2:
+                w = w[:-3]
+        elif w.endswith("ièr") or w.endswith("Ièr"):
+            if len(w) - 3 >= rv:
+                w = w[:-3] + "i"
+        return w, "done"
+    if rule == "ite":
+        if st < r2:
+            return w, "fail"
+        w = base
+        if w.endswith("abil"):
+            w = w[:-4] if len(w) - 4 >= r2 else w[:-4] + "abl"
+        elif w.endswith("ic"):
+            w = w[:-2] if len(w) - 2 >= r2 else w[:-2] + "iqU"
+        elif w.endswith("iv"):
+            if len(w) - 2 >= r2:
+                w = w[:-2]
+        return w, "done"
+    if rule == "if":
+        if st < r2:
+            return w, "fail"
+        w = base
+        if w.endswith("at") and len(w) - 2 >= r2:
+            w = w[:-2]
+            if w.endswith("ic"):
+                w = w[:-2] if len(w) - 2 >= r2 else w[:-2] + "iqU"
+        return w, "done"
+    if rule == "eaux":
+        return base + "eau", "done"
+    if rule == "aux":
+        return (base + "al", "done") if st >= r1 else (w, "fail")
+    if rule == "euse":
+        if st >= r2:
+            return base, "done"
+        if st >= r1:
+            return base + "eux", "done"
+        return w, "fail"
+    if rule == "issement":
+        if st >= r1 and st > 0 and w[st - 1] not in VOWELS:
+            return base, "done"
+        return w, "fail"
+    if rule == "amment":
+        return (base + "ant", "go_on") if st >= rv else (w, "fail")
+    if rule == "emment":
+        return (base + "ent", "go_on") if st >= rv else (w, "fail")
+    # ment, ments: preceded by a vowel in RV
+    if st - 1 >= rv and w[st - 1] in VOWELS:
+        return base, "go_on"
+    return w, "fail"
+
+
+def _i_verb(w: str, rv: int) -> str | None:
+    s = _longest(w, I_VERB, rv)
+    if s is None:
+        return None
+    st = len(w) - len(s)
+    if st - 1 >= rv and w[st - 1] not in VOWELS:
+        return w[:st]
+    return None
+
+
+def _verb(w: str, rv: int, r2: int) -> str | None:
+    s = _longest(w, VERB_DEL + VERB_A + ("ions",), rv)
+    if s is None:
+        return None
+    st = len(w) - len(s)
+    if s == "ions":
+        return w[:st] if st >= r2 else None
+    w = w[:st]
+    if s in VERB_A and w.endswith("e") and len(w) - 1 >= rv:
+        w = w[:-1]
+    return w
+
+
+def _residual(w: str, rv: int, r2: int) -> str:
+    if w.endswith("s") and len(w) >= 2 and w[-2] not in KEEP_WITH_S:
+        w = w[:-1]
+    s = _longest(w, RESIDUAL, rv)
+    if s is None:
+        return w
+    st = len(w) - len(s)
+    if s == "ion":
+        if st >= r2 and st - 1 >= rv and w[st - 1] in "st":
+            return w[:st]
+        return w
+    if s in ("ier", "ière", "Ier", "Ière"):
+        return w[:st] + "i"
+    if s == "e":
+        return w[:st]
+    if w[:st].endswith("gu") and st - 2 >= rv:  # ë
+        return w[:st]
+    return w
+
+
+def stem(word: str) -> str:
+    if word is None:
+        return None
+    w = _prelude(word)
+    rv, r1, r2 = _regions(w)
+    w2, outcome = _standard(w, rv, r1, r2)
+    changed = False
+    if outcome == "done":
+        w, changed = w2, True
+    else:
+        if outcome == "go_on":
+            w = w2
+        v = _i_verb(w, rv)
+        if v is None:
+            v = _verb(w, rv, r2)
+        if v is not None:
+            w, changed = v, True
+    if changed:
+        if w.endswith("Y"):
+            w = w[:-1] + "i"
+        elif w.endswith("ç"):
+            w = w[:-1] + "c"
+    else:
+        w = _residual(w, rv, r2)
+    for d in UNDOUBLE:
+        if w.endswith(d):
+            w = w[:-1]
+            break
+    # un-accent: é/è followed by at least one non-vowel up to the end
+    i = len(w)
+    while i > 0 and w[i - 1] not in VOWELS:
+        i -= 1
+    if i < len(w) and i > 0 and w[i - 1] in "éè":
+        w = w[:i - 1] + "e" + w[i:]
+    return w.replace("I", "i").replace("U", "u").replace("Y", "y")

@@ -885,6 +885,13 @@ def q_stem_features_de(spark, sf):
     return A.frequent_terms(stem_features(d, "german"))
 
 
+@register("stem_features_fr")
+def q_stem_features_fr(spark, sf):
+    docs = filter_in(load_corpus(spark, sf), "lang", ["fr"])
+    d = M.dfm(clean_tokens(docs)).materialize()
+    return A.frequent_terms(stem_features(d, "french"))
+
+
 @register("table_view", _sql(*DEFAULT_SQL, "ft AS (" + S.freq_select(limit=None) + ")", body=(
     "SELECT * FROM ft WHERE contains(lower(term), 'th') OR contains(CAST(nb_terms AS VARCHAR), 'th') "
     "ORDER BY nb_docs DESC, term, nb_terms, prop_docs LIMIT 20 OFFSET 20")))

@@ -64,7 +64,7 @@ def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.columns == ["term", "nb_terms", "nb_docs", "prop_docs"] and out.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
-    assert set(qs) - set(sql) == {"stem_features_en", "stem_features_de"}
+    assert set(qs) - set(sql) == {"stem_features_en", "stem_features_de", "stem_features_fr"}
 
 
 def test_german_stems(spark):
@@ -75,3 +75,15 @@ def test_german_stems(spark):
     docs = spark.createDataFrame([(1, "Häuser Haus Zeitungen Zeitung")], "doc_id long, text string")
     d = stem_features(M.dfm(clean_tokens(docs)), "german")
     assert sorted(rows(d.long)) == [(1, "haus", 2), (1, "zeitung", 2)]
+
+
+def test_french_stems(spark):
+    from lexiflow.functions.french import stem as fstem
+    pairs = {"continuellement": "continuel", "continuation": "continu", "continuité": "continu",
+             "abandonnée": "abandon", "généralement": "général", "chevaux": "cheval",
+             "intelligemment": "intelligent", "finissions": "fin", "aimiez": "aim", "dernière": "derni",
+             "question": "question", "pays": "pay"}
+    assert {w: fstem(w) for w in pairs} == pairs
+    docs = spark.createDataFrame([(1, "Continuation continuité chevaux cheval")], "doc_id long, text string")
+    d = stem_features(M.dfm(clean_tokens(docs)), "french")
+    assert sorted(rows(d.long)) == [(1, "cheval", 2), (1, "continu", 2)]
