@@ -1,0 +1,184 @@
+"""Spanish stemmer (the Snowball Spanish algorithm, from its published
+description). Per-word helper run on the distinct vocabulary only."""
+from __future__ import annotations
+
+VOWELS = set("aeiouáéíóúü")
+
+# Suffix tables of the algorithm.
+PRONOUNS = ("me", "se", "sela", "selo", "selas", "selos", "la", "le", "lo", "las", "les", "los", "nos")
+PRONOUN_BEFORE = {"iéndo": "iendo", "ándo": "ando", "ár": "ar", "ér": "er", "ír": "ir",
+                  "ando": "ando", "iendo": "iendo", "ar": "ar", "er": "er", "ir": "ir", "yendo": "yendo"}
+STEP1 = [
+    (("anza", "anzas", "ico", "ica", "icos", "icas", "ismo", "ismos", "able", "ables", "ible", "ibles",
+      "ista", "istas", "oso", "osa", "osos", "osas", "amiento", "amientos", "imiento", "imientos"), "r2_del"),
+    (("adora", "ador", "ación", "adoras", "adores", "aciones", "ante", "antes", "ancia", "ancias"), "ador"),
+    (("logía", "logías"), "logia"),
+    (("ución", "uciones"), "ucion"),
+    (("encia", "encias"), "encia"),
+    (("amente",), "amente"),
+    (("mente",), "mente"),
+    (("idad", "idades"), "idad"),
+    (("iva", "ivo", "ivas", "ivos"), "iva"),
+]
+Y_VERB = ("ya", "ye", "yan", "yen", "yeron", "yendo", "yo", "yó", "yas", "yes", "yais", "yamos")
+VERB_GU = ("en", "es", "éis", "emos")
+VERB_DEL = (
+    "arían", "arías", "arán", "arás", "aríais", "aría", "aréis", "aríamos", "aremos", "ará", "aré",
+    "erían", "erías", "erán", "erás", "eríais", "ería", "eréis", "eríamos", "eremos", "erá", "eré",
+    "irían", "irías", "irán", "irás", "iríais", "iría", "iréis", "iríamos", "iremos", "irá", "iré",
+    "aba", "ada", "ida", "ía", "ara", "iera", "ad", "ed", "id", "ase", "iese", "aste", "iste", "an",
+    "aban", "ían", "aran", "ieran", "asen", "iesen", "aron", "ieron", "ado", "ido", "ando", "iendo",
+    "ió", "ar", "er", "ir", "as", "abas", "adas", "idas", "ías", "aras", "ieras", "ases", "ieses", "ís",
+    "áis", "abais", "íais", "arais", "ierais", "aseis", "ieseis", "asteis", "isteis", "ados", "idos",
+    "amos", "ábamos", "íamos", "imos", "áramos", "iéramos", "iésemos", "ásemos")
+RESIDUAL = ("os", "a", "o", "á", "í", "ó", "e", "é")
+ACCENTS = str.maketrans("áéíóú", "aeiou")
+
+
+def _regions(w: str) -> tuple[int, int, int]:
+    n = len(w)
+
+    def gopast(start: int, want_vowel: bool) -> int:
+        for i in range(start, n):
+            if (w[i] in VOWELS) == want_vowel:
+                return i + 1
+        return n
+    rv = n
+    if n >= 2:
+        if w[0] in VOWELS:
+            rv = gopast(2, True) if w[1] not in VOWELS else gopast(2, False)
+        else:
+            rv = gopast(2, True) if w[1] not in VOWELS else min(3, n)
+
+    def region(start: int) -> int:
+        for i in range(start + 1, n):
+            if w[i] not in VOWELS and w[i - 1] in VOWELS:
+                return i + 1
+        return n
+    r1 = region(0)
+    return rv, r1, region(r1)
+
+
+def _longest(w: str, suffixes, min_start: int = 0) -> str | None:
+    best = None
+    for s in suffixes:
+        if w.endswith(s) and len(w) - len(s) >= min_start and (best is None or len(s) > len(best)):
+            best = s
+    return best
+
+
+def _pronoun(w: str, rv: int) -> str:
+    p = _longest(w, PRONOUNS)
+    if p is None:
+        return w
+    base = w[: len(w) - len(p)]
+    e = _longest(base, tuple(PRONOUN_BEFORE))
+    if e is None or len(base) - len(e) < rv:
+        return w
+    if e == "yendo":
+        return base if base[: len(base) - len(e)].endswith("u") else w
+    return base[: len(base) - len(e)] + PRONOUN_BEFORE[e]
+
+
+def _standard(w: str, r1: int, r2: int) -> str | None:
+    best, rule = None, None
+    for sufs, r in STEP1:
+        s = _longest(w, sufs)
+        if s and (best is None or len(s) > len(best)):
+            best, rule = s, r
+    if best is None:
+        return None
+    st = len(w) - len(best)
+    base = w[:st]
+    if rule == "r2_del":
+        return base if st >= r2 else None
+    if rule == "ador":
+        if st < r2:
+            return None
+        if base.endswith("ic") and len(base) - 2 >= r2:
+            base = base[:-2]
+        return base
+    if rule == "logia":
+        return base + "log" if st >= r2 else None
+    if rule == "ucion":
+        return base + "u" if st >= r2 else None
+    if rule == "encia":
+        return base + "ente" if st >= r2 else None
+    if rule == "amente":
+        if st < r1:
+            return None
+        s2 = _longest(base, ("iv", "os", "ic", "ad"))
+        if s2 and len(base) - len(s2) >= r2:
+            base = base[: len(base) - len(s2)]
+            if s2 == "iv" and base.endswith("at") and len(base) - 2 >= r2:
+                base = base[:-2]
+        return base
+    if rule == "mente":
+        if st < r2:
+            return None
+        s2 = _longest(base, ("ante", "able", "ible"))
+        if s2 and len(base) - len(s2) >= r2:
+            base = base[: len(base) - len(s2)]
+        return base
+    if rule == "idad":
+        if st < r2:
+            return None
+        s2 = _longest(base, ("abil", "ic", "iv"))
+        if s2 and len(base) - len(s2) >= r2:
+            base = base[: len(base) - len(s2)]
+        return base
+    # iva ivo ivas ivos
+    if st < r2:
+        return None
+    if base.endswith("at") and len(base) - 2 >= r2:
+        base = base[:-2]
+    return base
+
+
+def _y_verb(w: str, rv: int) -> str | None:
+    s = _longest(w, Y_VERB, rv)
+    if s is None:
+        return None
+    st = len(w) - len(s)
+    return w[:st] if st > 0 and w[st - 1] == "u" else None
+
+
+def _verb(w: str, rv: int) -> str | None:
+    s = _longest(w, VERB_GU + VERB_DEL, rv)
+    if s is None:
+        return None
+    st = len(w) - len(s)
+    base = w[:st]
+    if s in VERB_GU and base.endswith("gu"):
+        base = base[:-1]
+    return base
+
+
+def _residual(w: str, rv: int) -> str:
+    s = _longest(w, RESIDUAL)
+    if s is None:
+        return w
+    st = len(w) - len(s)
+    if st < rv:
+        return w
+    w = w[:st]
+    if s in ("e", "é") and w.endswith("gu") and len(w) - 1 >= rv:
+        w = w[:-1]
+    return w
+
+
+def stem(word: str) -> str:
+    if word is None:
+        return None
+    w = word
+    rv, r1, r2 = _regions(w)
+    w = _pronoun(w, rv)
+    done = _standard(w, r1, r2)
+    if done is None:
+        done = _y_verb(w, rv)
+    if done is None:
+        done = _verb(w, rv)
+    if done is not None:
+        w = done
+    w = _residual(w, rv)
+    return w.translate(ACCENTS)

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import bounded_broadcast
 from .dfm import Dfm
 
-LANGUAGES = ("english", "french", "german")
+LANGUAGES = ("english", "french", "german", "spanish")
 MAX_BROADCAST_TERMS = 2_000_000
 
 
 def _stem_batches(language: str):
     def run(batches):
-        from lexiflow.functions import french, german, porter
-        one = {"english": porter.stem, "french": french.stem, "german": german.stem}[language]
+        from lexiflow.functions import french, german, porter, spanish
+        one = {"english": porter.stem, "french": french.stem, "german": german.stem,
+               "spanish": spanish.stem}[language]
         for pdf in batches:
             pdf["stem"] = ["_".join(one(p) for p in t.split("_")) if t is not None else None
                            for t in pdf["term"]]

@@ -885,6 +885,13 @@ def q_stem_features_de(spark, sf):
     return A.frequent_terms(stem_features(d, "german"))
 
 
+@register("stem_features_es")
+def q_stem_features_es(spark, sf):
+    docs = filter_in(load_corpus(spark, sf), "lang", ["es"])
+    d = M.dfm(clean_tokens(docs)).materialize()
+    return A.frequent_terms(stem_features(d, "spanish"))
+
+
 @register("stem_features_fr")
 def q_stem_features_fr(spark, sf):
     docs = filter_in(load_corpus(spark, sf), "lang", ["fr"])

@@ -64,7 +64,8 @@ def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.columns == ["term", "nb_terms", "nb_docs", "prop_docs"] and out.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
-    assert set(qs) - set(sql) == {"stem_features_en", "stem_features_de", "stem_features_fr"}
+    assert set(qs) - set(sql) == {"stem_features_en", "stem_features_de", "stem_features_fr",
+                                  "stem_features_es"}
 
 
 def test_german_stems(spark):
@@ -87,3 +88,13 @@ def test_french_stems(spark):
     docs = spark.createDataFrame([(1, "Continuation continuité chevaux cheval")], "doc_id long, text string")
     d = stem_features(M.dfm(clean_tokens(docs)), "french")
     assert sorted(rows(d.long)) == [(1, "cheval", 2), (1, "continu", 2)]
+
+
+def test_spanish_stems(spark):
+    from lexiflow.functions.spanish import stem as sstem
+    pairs = {"haciéndola": "hac", "nacionalidad": "nacional", "rápidamente": "rapid", "felicidad": "felic",
+             "alimentación": "aliment", "canciones": "cancion", "siguen": "sig", "casas": "cas"}
+    assert {w: sstem(w) for w in pairs} == pairs
+    docs = spark.createDataFrame([(1, "Canciones canción casa casas")], "doc_id long, text string")
+    d = stem_features(M.dfm(clean_tokens(docs)), "spanish")
+    assert sorted(rows(d.long)) == [(1, "cancion", 2), (1, "cas", 2)]
