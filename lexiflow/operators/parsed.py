@@ -83,17 +83,27 @@ def pos_counts(parsed: DataFrame) -> DataFrame:
             .orderBy("n", "pos"))
 
 
-def rebuild_texts(parsed: DataFrame, keep: Column | None = None, column: str = "token") -> DataFrame:
+def rebuild_texts(parsed: DataFrame, keep: Column | None = None, column: str = "token",
+                  bucket: int = CONTEXT_BUCKET) -> DataFrame:
     """Text of each document from its kept tokens in order, joined by a
     blank (A16). ``keep`` is a condition on the token rows (e.g. from
     ``keep_pos``); a document whose tokens are all dropped gets ``''`` (J3).
-    One aggregation by document: the condition is applied inside it, so
-    every document of the table is present without a completion join."""
+
+    Two aggregations: tokens are first joined per (document, bucket of
+    ``bucket`` positions), so a very long document is spread over many
+    tasks; a document then joins its bucket texts in order. The condition is
+    applied inside the aggregations, so every document of the table is
+    present without a completion join."""
     item = F.struct("token_pos", F.col(column).alias("t"))
     if keep is not None:
         item = F.when(keep, item)
-    return (parsed.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("ts"))
-            .select("doc_id", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text")))
+    parts = (parsed.groupBy("doc_id", F.floor(F.col("token_pos") / F.lit(bucket)).alias("__b"))
+             .agg(F.sort_array(F.collect_list(item)).alias("ts"))
+             .select("doc_id", "__b", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("part"),
+                     F.size("ts").alias("k")))
+    piece = F.when(F.col("k") > 0, F.struct("__b", "part"))
+    return (parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
+            .select("doc_id", F.array_join(F.transform("ps", lambda x: x["part"]), " ").alias("text")))
 
 
 def keep_pos(pos: Sequence[str]) -> Column:

@@ -87,3 +87,11 @@ def test_token_context_buckets_match_one_window(spark):
     for b in (1, 2, 3, 7, 1000):
         got = {(r["doc_id"], r["token_pos"]): r["context"] for r in P.token_context(p, bucket=b).collect()}
         assert got == want, b
+
+
+def test_rebuild_texts_buckets(spark, p3):
+    keep = P.keep_pos(["PUNCT"])
+    want = dict(rows(P.rebuild_texts(p3, keep)))
+    for b in (1, 2, 3):
+        assert dict(rows(P.rebuild_texts(p3, keep, bucket=b))) == want
+    assert dict(rows(P.rebuild_texts(p3, P.keep_pos(["INTJ"]), bucket=1)))[2] == ""
