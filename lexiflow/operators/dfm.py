@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import fence
+from ..functions.columns import bounded_broadcast, fence
+
+MAX_BROADCAST_ROWS = 2_000_000
 
 COUNT_TYPE = "array<struct<term:string,n:bigint>>"
 
@@ -78,7 +80,10 @@ class Dfm:
         cols = [c for c in cols if c != self.id_col]
         if self.rows is not None:
             return self.rows.select(self.id_col, *cols, F.inline("counts"))
-        return self.long_df.join(self.docs.select(self.id_col, *cols), self.id_col)
+        # a grouped dfm has few documents (groups): broadcast them, so a hot
+        # group never lands in one join task
+        docs = self.docs.select(self.id_col, *cols)
+        return self.long_df.join(bounded_broadcast(docs, MAX_BROADCAST_ROWS), self.id_col)
 
     @property
     def nested(self) -> bool:
@@ -153,12 +158,14 @@ def term_totals(d: Dfm) -> DataFrame:
 
 def trim_features(d: Dfm, min_termfreq: int | None) -> Dfm:
     """Keep features whose total frequency is ``>= min_termfreq`` (M4, M5);
-    0 or None is no trim. The kept-term set grows with the vocabulary, so it
-    is joined back by shuffle (AQE splits a skewed term partition)."""
+    0 or None is no trim. The kept-term set grows with the vocabulary: it is
+    broadcast when counted under 2M terms, else joined back by shuffle (AQE
+    splits a skewed term partition). Call it on a materialized dfm."""
     if not min_termfreq or min_termfreq <= 0:
         return d
     kept = (d.long.groupBy("term").agg(F.sum("n").alias("tot"))
             .filter(F.col("tot") >= min_termfreq).select("term"))
+    kept = bounded_broadcast(kept, MAX_BROADCAST_ROWS)
     long_df = d.long.join(kept, "term", "left_semi").select(d.id_col, "term", "n")
     return Dfm(docs=d.docs, long_df=long_df, id_col=d.id_col, value_type=d.value_type)
 
@@ -205,7 +212,7 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
     elif scheme == "tfidf":
         ndoc = d.docs.agg(F.count(F.lit(1))).scalar()  # one value, no join
         dfreq = long_df.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
-        long_df = long_df.join(dfreq, "term")
+        long_df = long_df.join(bounded_broadcast(dfreq, MAX_BROADCAST_ROWS), "term")
         val = F.col("n") * F.log10(ndoc / F.col("__df"))
     else:
         raise ValueError(f"unknown weight scheme {scheme!r}")
