@@ -92,3 +92,10 @@ def test_search_kwic_and_metadata(spark, four_docs, d4):
                   3: "...and this is yet <strong>another</strong> text..."}
     md = {r["doc_id"]: r["metadata"] for r in Q.doc_metadata(four_docs, ["grp"]).collect()}
     assert md[4] == "grp: NA" and md[1] == "grp: a"
+
+
+def test_highlight_quotes_metacharacters(spark):
+    df = spark.createDataFrame([("a.b axb (c) c++ c",)], "text string")
+    out = df.select(Q.highlight_expr("text", ["a.b", "(c)", "c++"]).alias("h")).collect()[0]["h"]
+    assert out == ("<span class='highlight'>a.b</span> axb <span class='highlight'>(c)</span> "
+                   "<span class='highlight'>c++</span> c")
