@@ -239,14 +239,6 @@ def _greedy_step(lcol: str):
     return step
 
 
-def _starts_at(i):
-    return lambda sp: sp["s"] == i
-
-
-def _covers(i):
-    return lambda sp: (sp["s"] <= i) & (sp["e"] >= i)
-
-
 def _long_match(lcol: str):
     return lambda i: F.element_at(F.col(lcol), i) >= 2
 

@@ -99,3 +99,9 @@ def test_highlight_quotes_metacharacters(spark):
     out = df.select(Q.highlight_expr("text", ["a.b", "(c)", "c++"]).alias("h")).collect()[0]["h"]
     assert out == ("<span class='highlight'>a.b</span> axb <span class='highlight'>(c)</span> "
                    "<span class='highlight'>c++</span> c")
+
+
+def test_query_words():
+    from lexiflow.functions.patterns import query_words
+    assert query_words("sky & (sea | ocean) & !it's") == ["sky", "sea", "ocean", "it's"]
+    assert query_words("") == [] and query_words(None) == []
