@@ -54,13 +54,50 @@ def filter_in(df: DataFrame, col: str, values: Sequence | None) -> DataFrame:
     return df.filter(cond)
 
 
-def filter_documents(df: DataFrame, spec: Mapping[str, object]) -> DataFrame:
+def domains_of(domains_df: DataFrame) -> dict:
+    """Driver-side dict of a ``docvar_domains`` result (one row per docvar,
+    so bounded by the schema width): name → (min, max) strings or levels."""
+    out = {}
+    for r in domains_df.collect():
+        if r["levels"] is not None:
+            out[r["name"]] = r["levels"].split(", ")
+        else:
+            out[r["name"]] = (r["min_value"], r["max_value"])
+    return out
+
+
+def _is_full(v, dom) -> bool:
+    """Does a filter value select the whole domain of its docvar?"""
+    if dom is None:
+        return False
+    if isinstance(dom, tuple):
+        if not (isinstance(v, tuple) and len(v) == 2):
+            return False
+        return all(a is not None and str(a) == str(b) or
+                   (a is not None and b is not None and _num_eq(a, b)) for a, b in zip(v, dom))
+    chosen = {NA if x is None else str(x) for x in v}
+    return set(dom) <= chosen
+
+
+def _num_eq(a, b) -> bool:
+    try:
+        return float(a) == float(b)
+    except (TypeError, ValueError):
+        return False
+
+
+def filter_documents(df: DataFrame, spec: Mapping[str, object], domains: Mapping | None = None) -> DataFrame:
     """All filters, one after the other (F4). Spec values: ``(lo, hi)`` for a
-    numeric or date range, a list/set of levels for membership."""
+    numeric or date range, a list/set of levels for membership. With
+    ``domains`` (see ``domains_of``), a filter that selects a docvar's whole
+    domain is not applied, as the explorer does (documents with a NULL value
+    then stay)."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for col, v in spec.items():
         if col not in fields:
             raise ValueError(f"unknown docvar {col!r}")
+        if domains is not None and _is_full(v, domains.get(col)):
+            continue
         t = fields[col]
         if isinstance(v, tuple) and len(v) == 2 and t in ("date", "timestamp", "timestamp_ntz"):
             df = filter_date_range(df, col, *v)

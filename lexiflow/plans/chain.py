@@ -27,8 +27,10 @@ class CorpusView:
 
 
 def explore(corpus_df: DataFrame, opts: TextOptions = TextOptions(),
-            filters: Mapping[str, object] | None = None) -> CorpusView:
-    docs = filter_documents(corpus_df, filters or {})
+            filters: Mapping[str, object] | None = None, domains: Mapping | None = None) -> CorpusView:
+    """``domains`` (from ``operators.filters.domains_of``) lets filters that
+    select a docvar's whole domain be skipped, as the explorer does."""
+    docs = filter_documents(corpus_df, filters or {}, domains)
     toks = clean_tokens(docs, opts)
     d = dfm(toks)
     if opts.stem_language or (opts.min_termfreq and opts.min_termfreq > 0):

@@ -98,3 +98,15 @@ def test_spanish_stems(spark):
     docs = spark.createDataFrame([(1, "Canciones canción casa casas")], "doc_id long, text string")
     d = stem_features(M.dfm(clean_tokens(docs)), "spanish")
     assert sorted(rows(d.long)) == [(1, "cancion", 2), (1, "cas", 2)]
+
+
+def test_full_domain_filters_are_skipped(spark):
+    from lexiflow.operators.filters import domains_of
+    df = _docs(spark)
+    dom = domains_of(docvar_domains(df))
+    ids = lambda x: sorted(r["doc_id"] for r in x.collect())
+    assert ids(filter_documents(df, {"score": (10, 30)}, dom)) == [1, 2, 3, 4]   # NULL kept
+    assert ids(filter_documents(df, {"score": (10, 30)})) == [1, 2, 3]
+    assert ids(filter_documents(df, {"score": (10, 20)}, dom)) == [1, 2]
+    assert ids(filter_documents(df, {"d": (dt.date(2024, 1, 1), dt.date(2024, 4, 1))}, dom)) == [1, 2, 3, 4]
+    assert ids(filter_documents(df, {"lang": ["a", "b", "NA"]}, dom)) == [1, 2, 3, 4]
