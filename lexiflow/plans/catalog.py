@@ -29,6 +29,7 @@ from ..sources.corpus import corpus, corpus_head, replace_texts, with_raw
 from ..sources.lexicon import ENGLISH_STOPWORDS, dictionary_from_lines, dictionary_to_lines
 from ..sources.parsed import parsed_tokens
 from ..sources.profile import docvar_domains, usable_docvars
+from ..session import spread
 from . import sql_text as S
 
 DOCVARS = ["lang", "source", "n_chars", "doc_date"]
@@ -76,8 +77,8 @@ def load_parsed(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed-token table derived from ``conversations``: one document per
     conversation, tokens of each turn in order (library tokenization), a POS
     that is a fixed function of the token, lemma = lowercased token."""
-    conv = spark.read.parquet(f"{sf}/conversations.parquet")
-    toks = tokenize(conv.select("conv_id", "turn", "text"), RAW)
+    conv = spread(spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text"))
+    toks = tokenize(conv, RAW)
     rows = toks.select(F.col("conv_id").alias("doc_id"), "turn",
                        F.posexplode("tokens").alias("i", "token"))
     tagged = rows.select(

@@ -58,14 +58,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return path
 
 
+SPREAD_BYTES_PER_CORE = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cluster when a scan yields fewer partitions than
-    cores (a one-row-group parquet file is one task). Large inputs already
-    have many splits and are left alone, so no shuffle is added at scale."""
+    """Spread rows over the cluster when a scan cannot: fewer partitions than
+    cores, or an input small enough (at most 128 MB per core by the planner's
+    size estimate) that one shuffle of it is cheap. The partition count
+    alone is not enough: a file with one large row group is cut into several
+    byte ranges, but only one of them holds rows. Large inputs keep their
+    splits, so no shuffle is added at scale."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= cores * SPREAD_BYTES_PER_CORE:
+        return df.repartition(cores)
     return df
 
 
