@@ -158,14 +158,17 @@ def term_totals(d: Dfm) -> DataFrame:
 
 def trim_features(d: Dfm, min_termfreq: int | None) -> Dfm:
     """Keep features whose total frequency is ``>= min_termfreq`` (M4, M5);
-    0 or None is no trim. The kept-term set grows with the vocabulary: it is
-    broadcast when counted under 2M terms, else joined back by shuffle (AQE
-    splits a skewed term partition). Call it on a materialized dfm."""
+    0 or None is no trim. The kept-term set grows with the vocabulary: AQE
+    broadcasts it when its measured size is small, else it is joined back by
+    shuffle and AQE splits a skewed term partition. Call it on a
+    materialized dfm."""
     if not min_termfreq or min_termfreq <= 0:
         return d
     kept = (d.long.groupBy("term").agg(F.sum("n").alias("tot"))
             .filter(F.col("tot") >= min_termfreq).select("term"))
-    kept = bounded_broadcast(kept, MAX_BROADCAST_ROWS)
+    # AQE measures the kept-term table at run time and broadcasts it when it
+    # is small (spark.sql.adaptive.autoBroadcastJoinThreshold); a count of
+    # it here would cost one more pass over the dfm
     long_df = d.long.join(kept, "term", "left_semi").select(d.id_col, "term", "n")
     return Dfm(docs=d.docs, long_df=long_df, id_col=d.id_col, value_type=d.value_type)
 
@@ -212,7 +215,8 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
     elif scheme == "tfidf":
         ndoc = d.docs.agg(F.count(F.lit(1))).scalar()  # one value, no join
         dfreq = long_df.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
-        long_df = long_df.join(bounded_broadcast(dfreq, MAX_BROADCAST_ROWS), "term")
+        # broadcast chosen by AQE from the measured size of the term table
+        long_df = long_df.join(dfreq, "term")
         val = F.col("n") * F.log10(ndoc / F.col("__df"))
     else:
         raise ValueError(f"unknown weight scheme {scheme!r}")

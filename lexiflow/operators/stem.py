@@ -3,20 +3,18 @@
 The stemmer is a per-word Python helper, so it runs once per *distinct*
 term: Spark makes the vocabulary distinct (partial aggregation), stems it
 in Arrow batches with ``mapInPandas``, joins the mapping back on the term
-and sums the counts of terms that share a stem. The mapping is broadcast
-only when the vocabulary is counted under a bound; otherwise the join is a
-shuffle join whose skewed partitions AQE splits.
+and sums the counts of terms that share a stem. AQE broadcasts the mapping
+when its measured size is small; otherwise the join is a shuffle join whose
+skewed partitions AQE splits.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_broadcast
 from .dfm import Dfm
 
 LANGUAGES = ("english", "french", "german", "spanish")
-MAX_BROADCAST_TERMS = 2_000_000
 
 
 def _stem_batches(language: str):
@@ -46,9 +44,9 @@ def stem_features(d: Dfm, language: str = "english") -> Dfm:
     idc = d.id_col
     vocab = d.long.select("term").distinct()
     mapping = stem_vocabulary(vocab, language)
-    # broadcast when the vocabulary is measured small enough; otherwise a
-    # shuffle join by term (AQE splits a skewed term partition)
-    mapping = bounded_broadcast(mapping, MAX_BROADCAST_TERMS, probe=vocab)
+    # AQE broadcasts the mapping when its measured size is small, else it is a
+    # shuffle join by term whose skewed partitions AQE splits; counting the
+    # vocabulary here would cost one more pass over the dfm
     long_df = (d.long.join(mapping, "term")
                .groupBy(idc, F.col("stem").alias("term")).agg(F.sum("n").alias("n")))
     return Dfm(docs=d.docs, long_df=long_df, id_col=idc, value_type=d.value_type)
