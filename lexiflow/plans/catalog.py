@@ -321,20 +321,23 @@ def q_dictionary_multiword(spark, sf):
     return A.frequent_terms(load_dfm(spark, sf, _freq_multi))
 
 
+# Dictionary lines derived from whole conversation turns: "<role>_<turn> = w1, w2, …" with the
+# turn's words as values (repeated keys across conversations: the last line wins); turns from the
+# seventh on give lines without "=" (dropped by the parser).
 DICT_LINES_SQL = (
-    "lines AS (SELECT conv_id * 1000 + turn AS line_no, CASE WHEN turn % 5 = 4 THEN "
-    "regexp_replace(substr(text, 1, 30), '[=\\n]', ' ', 'g') ELSE "
-    "role || '_' || CAST(conv_id % 7 AS VARCHAR) || ' = ' || "
-    "regexp_replace(regexp_replace(substr(text, 1, 60), '[=\\n]', ' ', 'g'), ' ', ', ', 'g') END AS line "
+    "lines AS (SELECT conv_id * 1000 + turn AS line_no, CASE WHEN turn >= 6 THEN "
+    "regexp_replace(text, '[=\\n]', ' ', 'g') ELSE "
+    "role || '_' || CAST(turn AS VARCHAR) || ' = ' || "
+    "regexp_replace(regexp_replace(text, '[=\\n]', ' ', 'g'), ' ', ', ', 'g') END AS line "
     "FROM conversations)")
 
 
 def _dict_lines(spark, sf):
     conv = spark.read.parquet(f"{sf}/conversations.parquet")
-    clean = F.regexp_replace(F.substring("text", 1, 60), "[=\n]", " ")
-    line = F.when(F.col("turn") % 5 == 4, F.regexp_replace(F.substring("text", 1, 30), "[=\n]", " ")) \
-        .otherwise(F.concat(F.col("role"), F.lit("_"), (F.col("conv_id") % 7).cast("string"),
-                            F.lit(" = "), F.regexp_replace(clean, " ", ", ")))
+    clean = F.regexp_replace("text", "[=\n]", " ")
+    line = F.when(F.col("turn") >= 6, clean).otherwise(
+        F.concat(F.col("role"), F.lit("_"), F.col("turn").cast("string"), F.lit(" = "),
+                 F.regexp_replace(clean, " ", ", ")))
     return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), line.alias("line"))
 
 
