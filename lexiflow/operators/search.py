@@ -60,7 +60,7 @@ def search_total(hits: DataFrame) -> DataFrame:
     """``nb_docs, prop_docs`` over all documents, 1 decimal."""
     return hits.agg(F.count_if(F.col("n") > 0).alias("nb_docs"),
                     F.count(F.lit(1)).alias("__all")).select(
-        "nb_docs", F.round(F.col("nb_docs") / F.col("__all") * 100, 1).alias("prop_docs"))
+        "nb_docs", F.round(F.try_divide(F.col("nb_docs"), F.col("__all")) * 100, 1).alias("prop_docs"))
 
 
 def search_by_group(hits: DataFrame, by: str, binary: bool = False) -> DataFrame:

@@ -80,7 +80,8 @@ def term_similarity(d: Dfm, term: str, method: str = "correlation") -> DataFrame
     if method == "correlation":
         sim = _corr(n, F.col("sx"), F.col("sy"), F.col("sxx"), F.col("syy"), F.col("sxy"))
     elif method == "cosine":
-        sim = F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))
+        # zero weights (e.g. tf-idf of a term in every document) give NULL, not an error
+        sim = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
     else:
         sim = c / (dfx + dfy - c)
     match = (c + (n - dfx - dfy + c)) / n

@@ -26,7 +26,8 @@ def frequent_terms(d: Dfm, limit: int | None = FREQUENT_TERMS_MAX) -> DataFrame:
     """``term, nb_terms, nb_docs, prop_docs`` ordered by frequency (A1-A4).
     ``prop_docs`` is the share of *all* documents, 2 decimals."""
     out = term_totals(d).select("term", "nb_terms", "nb_docs",
-                                F.round(F.col("nb_docs") / ndoc_scalar(d) * 100, 2).alias("prop_docs"))
+                                F.round(F.try_divide(F.col("nb_docs"), ndoc_scalar(d)) * 100, 2)
+                                .alias("prop_docs"))
     out = out.orderBy(F.desc("nb_terms"), F.asc("term"))
     return out.limit(limit) if limit else out
 

@@ -54,3 +54,10 @@ def test_similarity_on_weighted(four_docs):
     d = M.weight(M.dfm(clean_tokens(four_docs)), "relfreq")
     cos = {r["term"]: r["similarity"] for r in H.term_similarity(d, "this", "cosine").collect()}
     assert math.isclose(cos["this"], 1.0)
+
+
+def test_similarity_with_zero_weights(four_docs):
+    d = M.weight(M.dfm(clean_tokens(four_docs)), "tfidf")  # 'is' is in every document: weight 0
+    cos = {r["term"]: r["similarity"] for r in H.term_similarity(d, "is", "cosine").collect()}
+    corr = {r["term"]: r["similarity"] for r in H.term_similarity(d, "is", "correlation").collect()}
+    assert cos["is"] is None and corr["this"] is None
