@@ -185,12 +185,18 @@ def dictionary_lookup(df: DataFrame, dictionary, valuetype: str = "glob",
     single = all(len(_split_value(v)) == 1 for _, vals in entries for v in vals)
     if single:
         preds = [(k.upper(), word_matcher(vals, valuetype)) for k, vals in entries]
-        tmp = "__dict_keys"
-        keyed = df.withColumn(tmp, F.transform(tok, lambda t: F.array_compact(
-            F.array(*[F.when(p(t), F.lit(k)) for k, p in preds]))))
-        return keyed.withColumn(out_col, fence(F.flatten(F.zip_with(
-            F.col(tokens_col), F.col(tmp),
-            lambda t, ks: F.when(F.size(ks) > 0, ks).otherwise(F.array(t)))))).drop(tmp)
+        if len(preds) == 1:
+            key, pred = preds[0]
+            # one key: a token is replaced in place, no per-token array
+            return df.withColumn(out_col, fence(F.transform(
+                tok, lambda t: F.when(pred(t), F.lit(key)).otherwise(t))))
+        any_match = word_matcher([v for _, vals in entries for v in vals], valuetype)
+
+        def keys_of(t):
+            return F.array_compact(F.array(*[F.when(p(t), F.lit(k)) for k, p in preds]))
+        # the per-key array is only built for tokens that match some pattern
+        return df.withColumn(out_col, fence(F.flatten(F.transform(
+            tok, lambda t: F.when(any_match(t), keys_of(t)).otherwise(F.array(t))))))
     return _dictionary_lookup_general(df, entries, valuetype, tokens_col, out_col)
 
 
