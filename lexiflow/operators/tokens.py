@@ -71,13 +71,17 @@ def tokenize(df: DataFrame, opts: TextOptions = TextOptions(), text_col: str = "
     return out if keep_text or text_col == out_col else out.drop(text_col)
 
 
-def remove_stopwords_expr(tokens: Column | str, stopwords: Iterable[str]) -> Column:
+def remove_stopwords_expr(tokens: Column | str, stopwords: Iterable[str],
+                          tokens_lowercased: bool = False) -> Column:
     """Drop tokens equal (case-insensitively) to a stop word; neighbours close
-    up. Duplicates in the token array are all removed or all kept."""
+    up. Duplicates in the token array are all removed or all kept. With
+    ``tokens_lowercased`` the tokens are compared as they are."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     stops = sorted({s.lower() for s in stopwords if s is not None and s != ""})
     if not stops:
         return tokens
+    if tokens_lowercased:
+        return F.filter(tokens, lambda t: ~t.isin(stops))
     return F.filter(tokens, lambda t: ~F.lower(t).isin(stops))
 
 
@@ -311,7 +315,9 @@ def clean_tokens(df: DataFrame, opts: TextOptions = TextOptions(), text_col: str
     if opts.dictionary:
         out = dictionary_lookup(out, opts.dictionary, opts.dictionary_type, out_col)
     if opts.stopwords:
-        out = out.withColumn(out_col, fence(remove_stopwords_expr(out_col, opts.stopwords)))
+        # lowercased tokens without upper-case dictionary keys need no lower()
+        lowered = opts.lowercase and not opts.dictionary
+        out = out.withColumn(out_col, fence(remove_stopwords_expr(out_col, opts.stopwords, lowered)))
     if tuple(sorted(set(opts.ngrams))) != (1,):
         out = out.withColumn(out_col, fence(ngrams_expr(out_col, opts.ngrams)))
     return out
