@@ -144,15 +144,40 @@ def parse(text: str) -> Node:
     return _Parser(text).parse()
 
 
+def term_forms(term: str, lowercase: bool = True) -> list[str]:
+    """dfm features a query term counts: the term itself, lowercased when the
+    tokens were lowercased; a term written in upper case (a dictionary key,
+    which the lookup puts in upper case) also counts its key form."""
+    if not lowercase:
+        return [term]
+    forms = [term.lower()]
+    if term.isupper() and term != term.lower():
+        forms.append(term)
+    return forms
+
+
+def written_terms(node: Node) -> list[str]:
+    """Terms as written in the query, in order of first use."""
+    out: list[str] = []
+
+    def walk(n: Node):
+        if n.kind == "term" and n.value not in out:
+            out.append(n.value)
+        for a in n.args:
+            walk(a)
+    walk(node)
+    return out
+
+
 def query_terms(node: Node, lowercase: bool = True) -> list[str]:
-    """Terms of a parsed query, in order of first use."""
+    """dfm features used by a parsed query, in order of first use."""
     out: list[str] = []
 
     def walk(n: Node):
         if n.kind == "term":
-            t = n.value.lower() if lowercase else n.value
-            if t not in out:
-                out.append(t)
+            for t in term_forms(n.value, lowercase):
+                if t not in out:
+                    out.append(t)
         for a in n.args:
             walk(a)
     walk(node)
@@ -172,7 +197,11 @@ def compile_query(node: Node, term_col: Callable[[str], Column], lowercase: bool
         if n.kind == "num":
             return F.lit(n.value), "num"
         if n.kind == "term":
-            return term_col(n.value.lower() if lowercase else n.value), "num"
+            forms = term_forms(n.value, lowercase)
+            c = term_col(forms[0])
+            for f in forms[1:]:
+                c = c + term_col(f)
+            return c, "num"
         if n.kind == "not":
             c, k = go(n.args[0])
             return ~boo(c, k), "bool"

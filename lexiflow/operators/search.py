@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.patterns import quote_regex
-from ..functions.query import parse, query_terms, result_column
+from ..functions.query import parse, query_terms, result_column, term_forms, written_terms
 from .dfm import Dfm, presence
 
 
@@ -29,7 +29,8 @@ def search(d: Dfm, query: str, binary: bool = False, lowercase: bool = True,
     node = parse(query)
     terms = query_terms(node, lowercase)
     if strict:
-        miss = [r["term"] for r in missing_terms(d, terms).collect()]
+        absent = {r["term"] for r in missing_terms(d, terms).collect()}
+        miss = [t for t in written_terms(node) if all(f in absent for f in term_forms(t, lowercase))]
         if miss:
             raise ValueError("terms missing from the corpus: " + ", ".join(miss))
     if binary:

@@ -105,3 +105,24 @@ def test_query_words():
     from lexiflow.functions.patterns import query_words
     assert query_words("sky & (sea | ocean) & !it's") == ["sky", "sea", "ocean", "it's"]
     assert query_words("") == [] and query_words(None) == []
+
+
+def test_dictionary_keys_are_searchable(spark):
+    from lexiflow.options import TextOptions
+    docs = spark.createDataFrame([(1, "the nation is free"), (2, "a country"), (3, "nothing")],
+                                 "doc_id long, text string")
+    opts = TextOptions(dictionary=(("country", ("country", "nation")),), dictionary_type="fixed")
+    d = M.dfm(clean_tokens(docs, opts))
+    h = dict(rows(Q.search(d, "COUNTRY").select("doc_id", "n")))
+    assert h == {1: 1, 2: 1, 3: 0}
+    h = dict(rows(Q.search(d, "free | Nothing").select("doc_id", "n")))
+    assert h == {1: 1, 2: 0, 3: 1}
+
+
+def test_strict_with_dictionary_keys(spark):
+    from lexiflow.options import TextOptions
+    docs = spark.createDataFrame([(1, "the nation")], "doc_id long, text string")
+    d = M.dfm(clean_tokens(docs, TextOptions(dictionary=(("country", ("nation",)),), dictionary_type="fixed")))
+    assert dict(rows(Q.search(d, "COUNTRY & the", strict=True).select("doc_id", "n"))) == {1: 1}
+    with pytest.raises(ValueError, match="zzz"):
+        Q.search(d, "COUNTRY | zzz", strict=True)
