@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiflow.llm.common import table
+from lexiflow.llm import language_id
+from lexiflow.llm.common import id_remainder, table
+from lexiflow.llm.packing import pack
 from lexiflow.llm.simhash import near_duplicates
 from lexiflow.llm.substring_dedup import remove_repeats
 
 
+#: The public vocabulary that packing counts tokens with, and its closing id.
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(id_remainder(3) != 1))
+    rows = docs.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "text")
+    return language_id.predict(rows, model, keep=["doc_id", "held_out"])
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=END_ID, with_ids=False)
+    return out.drop("source", "ids")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -22,7 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_substring_dedup, op10_simhash)
+    f.__name__: f for f in (op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
 }
 
 SQL: dict[str, str] = {
