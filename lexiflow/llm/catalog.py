@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import language_id
+from lexiflow.llm import language_id, toxicity
 from lexiflow.llm.common import id_remainder, table
 from lexiflow.llm.packing import pack
 from lexiflow.llm.simhash import near_duplicates
@@ -20,6 +20,13 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(id_remainder(5) != 0))
+    rows = docs.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "text")
+    return toxicity.score(rows, model, keep=["doc_id", "held_out"])
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(id_remainder(3) != 1))
@@ -43,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
 }
 
 SQL: dict[str, str] = {
