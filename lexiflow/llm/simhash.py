@@ -108,7 +108,10 @@ def links(nodes: DataFrame, radius: int = 2, groups: int | None = None, tile_row
         groups = 1 if n < 1 << 15 else 2 if n < 1 << 19 else 4 if n < 1 << 24 else 8
     keyed = nodes.select("fp", part_counts(F.col("fp"), groups).alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("cuts"))
-    tiles = keyed.join(sizes, "key").groupBy(
+    # at most 33**2 (2 parts) or 17**4 (4 parts) sizes: small enough to send to all
+    # tasks, so that the rows of a frequent key are not gathered by the key alone
+    cut_of = F.broadcast(sizes) if groups <= 4 else sizes
+    tiles = keyed.join(cut_of, "key").groupBy(
         "key", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int").alias("cut")) \
         .agg(F.collect_list("fp").alias("fps"))
     steps = F.array(*[F.lit(sum(d * 65 ** (groups - 1 - i) for i, d in enumerate(off))).cast("long")
