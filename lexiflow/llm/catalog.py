@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import language_id, toxicity
 from lexiflow.llm.common import id_remainder, table
+from lexiflow.llm.line_quality import PHRASES, SEPARATORS, clean_lines
 from lexiflow.llm.packing import pack
 from lexiflow.llm.simhash import near_duplicates
 from lexiflow.llm.substring_dedup import remove_repeats
@@ -27,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model, keep=["doc_id", "held_out"])
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(table(spark, sf_dir, "documents"), with_text=False).drop("cleaned")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(id_remainder(3) != 1))
@@ -50,10 +55,54 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
 }
 
 SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), win AS (
+  SELECT doc_id, p, ws[p] AS a, ws[p + 1] AS b, ws[p + 2] AS c
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d WHERE len(ws) >= 3)
+), rep AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM win) WHERE k > 1
+), rep_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS p FROM rep) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, i, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d))
+), fact AS (
+  SELECT doc_id, len(ws) AS n, len(array_to_string(ws, '')) AS c,
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[.!?…][\x22\x27)\]»”’]*$'))) AS ends,
+         len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{2}'))) AS shouts,
+         len(list_filter(ws, lambda x: list_contains([{separators}], x))) AS seps,
+         regexp_matches(lower(line), '{phrases}') AS phrase,
+         len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS same
+  FROM line WHERE len(ws) > 0
+), judged AS (
+  SELECT *, ends = 0 OR ends * 100 < n OR symbols * 10 > n OR shouts * 4 > n OR seps * 10 > n OR phrase
+            OR same * 2 > n AS fails
+  FROM fact
+), by_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (fails) AS n_removed_lines,
+         count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(c) FILTER (fails), 0) AS lost_chars
+  FROM judged GROUP BY doc_id
+), all_docs AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines,
+         coalesce(lost_chars, 0)::BIGINT AS lost_chars
+  FROM d LEFT JOIN rep_words USING (doc_id) LEFT JOIN by_doc USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.3 * word_chars AS kept
+FROM all_docs""".replace("{separators}", ", ".join(f"'{s}'" for s in SEPARATORS)).replace("{phrases}", "|".join(PHRASES)),
     "op7_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
