@@ -23,6 +23,7 @@ smallest sources beyond ``max_queues`` share one queue; an empty table gives an
 empty result; extra columns are ignored."""
 from __future__ import annotations
 
+import os
 import zlib
 from fractions import Fraction
 from functools import lru_cache
@@ -40,24 +41,47 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "offset long, source string, ids array<int>")
 
 
-def word_encoder(path: str, cache_words: int = 500_000):
+TAIL = b".,!?;:%#$&*|"
+
+
+def word_encoder(path: str, cache_words: int = 400_000, batch: int = 2000):
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids.
 
     The tokenizer replaces white space by one space and no token spans it, so
-    a text's ids are those of its words; words seen before are looked up."""
+    a text's ids are those of its words. It also cuts a word between a letter
+    or digit and punctuation, and ignores case, so closing punctuation is
+    looked up apart. Words seen before are not encoded again."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     known: dict[bytes, bytes] = {}
+    parts: dict[bytes, bytes] = {}
+
+    def split(word: bytes) -> tuple[bytes, ...]:
+        if b"<|" in word:  # may be a special token, which is matched as written
+            return (word,)
+        core = word.rstrip(TAIL)
+        if core and len(core) < len(word) and core.decode()[-1].isalnum():
+            return core.lower(), word[len(core):]
+        return (word.lower(),)
 
     def encode(text: str) -> bytes:
         words = text.encode().split()
         new = [w for w in set(words) if w not in known]
+        if new and len(known) > cache_words:
+            known.clear()
+            new = list(set(words))
         if new:
-            if len(known) > cache_words:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            if len(parts) > cache_words:
+                parts.clear()
+            cut = [split(w) for w in new]
+            fresh = list({p for c in cut for p in c if p not in parts})
+            for i in range(0, len(fresh), batch):
+                some = fresh[i:i + batch]
+                for p, e in zip(some, tok.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                    parts[p] = np.array(e.ids, "<u4").tobytes()
+            for w, c in zip(new, cut):
+                known[w] = parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]]
         return b"".join(map(known.__getitem__, words))
 
     return encode
@@ -220,7 +244,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, queues: list[str | N
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, mixture: dict[str, float] | None = None,
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_windows: int = 256,
-         quantum: int = 64, max_queues: int = 512, with_ids: bool = True) -> DataFrame:
+         quantum: int = 64, max_queues: int = 512, with_ids: bool = True,
+         broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per piece of a document; ``ids`` holds its ids if ``with_ids``."""
     seen = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.desc("n"), "s").limit(max_queues - 1).collect()
@@ -235,6 +260,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, mix
     weights = None if mixture is None else [mixture.get(s, 0.0) if s is not None else 0.0 for s in queues] + [0.0]
     earlier = parts.select("part", "queue", (F.sum("n").over(
         Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("earlier"))
+    if earlier.count() <= broadcast_rows:  # one row per task and queue; beyond it, a shuffled join
+        earlier = F.broadcast(earlier)
     placed = rows.join(earlier, ["part", "queue"])
     args = (totals, weights, size, block_windows, quantum)
 
