@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import language_id, toxicity
 from lexiflow.llm.common import id_remainder, table
+from lexiflow.llm.decontaminate import MASKS, SPAN, leaks
 from lexiflow.llm.line_quality import PHRASES, SEPARATORS, clean_lines
 from lexiflow.llm.packing import pack
 from lexiflow.llm.simhash import near_duplicates
@@ -32,6 +33,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents"), with_text=False).drop("cleaned")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(id_remainder(3) != 1))
@@ -55,10 +60,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
 }
 
+#: The seeds of operator 3 in SQL: the selected tokens of each mask in a row.
+_SEEDS = " UNION ALL ".join(
+    f"SELECT {{id}}, {m} AS mask, p, [{', '.join(f'w[p + {k}]' for k in mask)}] AS seed FROM "
+    f"(SELECT {{id}}, w, unnest(range(1, len(w) - {mask[-1]} + 1)) AS p FROM {{source}} WHERE len(w) > {mask[-1]})"
+    for m, mask in enumerate(MASKS))
+
 SQL: dict[str, str] = {
+    "op3_decontamination": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+), i AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark)
+  WHERE len(w) >= {SPAN} GROUP BY w
+), ds AS ({_SEEDS.format(id="doc_id", source="d")}
+), bs AS ({_SEEDS.format(id="item_id", source="i")}
+), diag AS (
+  SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs USING (mask, seed)
+), same AS (
+  SELECT doc_id, item_id, diagonal, len(i.w) AS n, least(len(i.w), 15) AS length,
+         [CASE WHEN j + diagonal >= 1 AND d.w[j + diagonal] = i.w[j] THEN 1 ELSE 0 END FOR j IN range(1, len(i.w) + 1)] AS e
+  FROM diag JOIN d USING (doc_id) JOIN i USING (item_id)
+), stretch AS (
+  SELECT doc_id, item_id, diagonal, n, length, list_sum(e)::BIGINT AS item_matches, p - 1 AS item_start,
+         list_sum(e[p:p + length - 1])::BIGINT AS matches
+  FROM (SELECT *, unnest(range(1, n - length + 2)) AS p FROM same)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id
+                               ORDER BY matches DESC, item_matches DESC, diagonal, item_start) AS k
+  FROM stretch WHERE matches >= ceil(0.8 * length)
+)
+SELECT doc_id, item_id, (diagonal + item_start)::BIGINT AS doc_start, item_start::BIGINT AS item_start,
+       length::BIGINT AS length, matches, item_matches, n::BIGINT AS item_tokens
+FROM ranked WHERE k = 1""",
     "op2_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
