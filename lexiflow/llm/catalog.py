@@ -13,6 +13,7 @@ from lexiflow.llm.common import id_remainder, table
 from lexiflow.llm.decontaminate import MASKS, SPAN, leaks
 from lexiflow.llm.line_quality import PHRASES, SEPARATORS, clean_lines
 from lexiflow.llm.packing import pack
+from lexiflow.llm.sanitize import KINDS, count_of, joined, sanitize
 from lexiflow.llm.simhash import near_duplicates
 from lexiflow.llm.substring_dedup import remove_repeats
 
@@ -54,13 +55,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sanitize(table(spark, sf_dir, "documents"), with_text=False)
+    counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                      joined(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op7_substring_dedup, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op7_substring_dedup, op9_sanitisation, op10_simhash)
 }
 
 #: The seeds of operator 3 in SQL: the selected tokens of each mask in a row.
