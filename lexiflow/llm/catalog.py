@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm import language_id, toxicity
 from lexiflow.llm.common import id_remainder, table
 from lexiflow.llm.decontaminate import MASKS, SPAN, leaks
+from lexiflow.llm.html_text import main_text
 from lexiflow.llm.line_quality import PHRASES, SEPARATORS, clean_lines
 from lexiflow.llm.packing import pack
 from lexiflow.llm.sanitize import KINDS, count_of, joined, sanitize
@@ -50,6 +51,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("source", "ids")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -68,7 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op7_substring_dedup, op9_sanitisation, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op6_html_extraction, op7_substring_dedup, op9_sanitisation, op10_simhash)
 }
 
 #: The seeds of operator 3 in SQL: the selected tokens of each mask in a row.
