@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import language_id, toxicity
+from lexiflow.llm import context_tree, language_id, toxicity
 from lexiflow.llm.common import id_remainder, table
 from lexiflow.llm.decontaminate import MASKS, SPAN, leaks
 from lexiflow.llm.html_text import main_text
@@ -60,6 +60,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(7) == 2
+    return context_tree.score(docs, ~held_out, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op9_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitize(table(spark, sf_dir, "documents"), with_text=False)
     counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
@@ -73,7 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op6_html_extraction, op7_substring_dedup, op9_sanitisation, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op6_html_extraction, op7_substring_dedup, op8_lm_scoring, op9_sanitisation, op10_simhash)
 }
 
 #: The seeds of operator 3 in SQL: the selected tokens of each mask in a row.
