@@ -42,3 +42,9 @@ def id_remainder(n: int, column: str = "doc_id") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 64-bit name of a row's id and text, for joins where ids may be missing
+    or repeated."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))

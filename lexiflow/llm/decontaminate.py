@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import row_key, stored
 
 #: The selected positions of each mask.
 MASKS = [(0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 6, 7)]
@@ -54,7 +54,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 15, similarity: f
           broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row per document and benchmark item with an overlap: the best
     stretch (``doc_start``, ``item_start``, ``length``, ``matches`` in tokens),
-    and ``item_matches`` of ``item_tokens`` on its diagonal."""
+    and ``item_matches`` of ``item_tokens`` on its diagonal; ``row`` is the
+    document's ``row_key``."""
     items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text)).alias("b")) \
         .where(F.size("b") >= SPAN).groupBy("b").agg(F.min("item_id").alias("item_id"))
     items = stored(items, "items")
@@ -65,7 +66,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 15, similarity: f
     small = seeds.count() <= broadcast_rows
     # the same id and text give the same key, so repeated rows are found together
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .withColumn("row", F.xxhash64("doc_id", "text"))
+        .withColumn("row", row_key())
     windows = keyed.select("row", token_hashes(F.col("text")).alias("h")).where(F.size("h") >= SPAN - 1) \
         .select("row", F.explode(F.concat(*[window_hashes(F.col("h"), m) for m in range(len(MASKS))])).alias("s")) \
         .select("row", F.col("s.mask").alias("mask"), F.col("s.hash").alias("hash"), F.col("s.pos").alias("pos"))
@@ -90,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 15, similarity: f
             (-F.col("diagonal")).alias("before"), F.col("best.back").alias("back"), "length",
             F.size("same").alias("item_tokens")).alias("s"))
     return found.groupBy("row", "doc_id", "item_id").agg(F.max("s").alias("s")) \
-        .select("doc_id", "item_id", (-F.col("s.before") - F.col("s.back")).cast("long").alias("doc_start"),
+        .select("doc_id", "row", "item_id", (-F.col("s.before") - F.col("s.back")).cast("long").alias("doc_start"),
                 (-F.col("s.back")).cast("long").alias("item_start"), F.col("s.length").cast("long").alias("length"),
                 F.col("s.matches").cast("long").alias("matches"),
                 F.col("s.item_matches").cast("long").alias("item_matches"),

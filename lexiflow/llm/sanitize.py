@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import row_key, stored
 
 # Kinds, patterns (possessive or anchored forms of the plain ones, so
 # that no run of characters is scanned twice) and their labels.
@@ -96,18 +96,20 @@ def _valid_spans(kind: str, found: Column) -> Column:
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(row, doc_id, text, base)``; ``row`` names the row's id and text."""
+def base_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """``(row, doc_id, text, carried, base)``; ``row`` names the row's id and
+    text, ``carried`` holds the columns ``carry``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
     none = F.array().cast("array<string>")
     for k in KINDS:
         found = F.regexp_extract_all(F.col("text"), F.lit(PATTERNS[k]), F.lit(0))
         rows = rows.withColumn(f"f_{k}", F.when(F.contains("text", F.lit(HINTS[k])), found).otherwise(none) if k in HINTS else found)
-    rows = rows.select("doc_id", "text", *[f"f_{k}" for k in KINDS], *[
+    rows = rows.select("doc_id", "text", "carried", *[f"f_{k}" for k in KINDS], *[
         F.when(F.size(f"f_{k}") > 0, F.split("text", PATTERNS[k], -1)).otherwise(none).alias(f"g_{k}") for k in KINDS])
     spans = [_valid_spans(k, placed(F.col(f"f_{k}"), F.col(f"g_{k}"))) for k in KINDS]
-    return rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", F.concat(*spans).alias("base"))
+    return rows.select(row_key().alias("row"), "doc_id", "text", "carried", F.concat(*spans).alias("base"))
 
 
 def words_near(rows: DataFrame, reach: int) -> DataFrame:
@@ -149,11 +151,13 @@ def disclosing(rows: DataFrame, near: DataFrame, support: int, generalise: float
 
 
 def sanitize(docs: DataFrame, reach: int = 5, support: int = 5, generalise: float = 0.8, remove: float = 0.95,
-             id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", with_text: bool = True,
+             carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``base`` and ``spans`` (base and disclosing words,
-    in order of kind and start) and, if ``with_text``, the sanitised text."""
-    rows = base_spans(docs, id_col, text_col)
-    marked = stored(rows.where(F.size("base") > 0), "entities")
+    in order of kind and start) and, if ``with_text``, the sanitised text; the
+    columns ``carry`` in the struct ``carried``."""
+    rows = base_spans(docs, id_col, text_col, carry or [])
+    marked = stored(rows.where(F.size("base") > 0).select("row", "text", "base"), "entities")
     near = stored(words_near(marked, reach), "near")
     terms = stored(disclosing(base_rows(docs, text_col), near, support, generalise), "terms")
     covered = near.join(terms, ["word", "kind"]).groupBy("row", "start", "end") \
@@ -165,7 +169,7 @@ def sanitize(docs: DataFrame, reach: int = 5, support: int = 5, generalise: floa
     none = F.array().cast("array<struct<start:int,end:int,as:string>>")
     out = rows.join(extra, "row", "left").withColumn("words", F.coalesce("words", none))
     spans = F.concat("base", F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(TERM).alias("kind"))))
-    cols = [F.col("doc_id"), F.col("base"), spans.alias("spans")]
+    cols = [F.col("doc_id"), F.col("base"), spans.alias("spans"), F.col("carried")]
     if with_text:
         cols.append(sanitised(F.col("text"), F.col("base"), F.col("words")).alias("sanitised"))
     return out.select(*cols)

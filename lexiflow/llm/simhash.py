@@ -27,11 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import row_key, stored
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, the 64 bits as a signed long."""
+    """``(doc_id, row, fp)``: ``row`` names the row's id and text, ``fp`` holds
+    the 64 bits as a signed long."""
     lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
     def of(text) -> int:
@@ -53,11 +54,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     def run(batches):
         for b in batches:
-            fp = [of(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [of(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "row", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+        .select("doc_id", row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def part_counts(fp: Column, groups: int) -> Column:
@@ -182,16 +183,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
                     text_col: str = "text", groups: int | None = None, tile_rows: int = 2048) -> DataFrame:
-    """``(doc_id, fingerprint, component_id, n_copies)``: one row per document.
+    """``(doc_id, row, fingerprint, component_id, n_copies, first)``: one row per
+    document.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most
-    ``radius`` bits; ``n_copies`` counts the rows of equal fingerprint."""
+    ``radius`` bits; ``n_copies`` counts the rows of equal fingerprint; ``first``
+    marks the document that stands for its component (the smallest id; of equal
+    ids one text; identical rows all are marked)."""
     fps = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies")), "nodes")
+    # a missing id comes last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = stored(fps.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_copies")), "nodes")
     roots = components(links(nodes, radius, groups, tile_rows))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "least", "n_copies", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "n_copies", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = rooted.drop("least").join(ids, "root").select("fp", "n_copies", "least")
     return fps.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+        "doc_id", "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("least.doc_id").alias("component_id"), "n_copies", (F.col("least.row") == F.col("row")).alias("first"))
