@@ -17,13 +17,3 @@ def fence(c: Column) -> Column:
     true, evaluated once per row, no other cost). Filters on source columns
     are applied before tokenization, so scan pushdown is unaffected."""
     return F.when(F.spark_partition_id() >= 0, c)
-
-
-def bounded_broadcast(df, max_rows: int = 100_000, probe=None):
-    """Broadcast ``df`` only when it is measured to hold at most ``max_rows``
-    rows; otherwise return it unchanged (a shuffle join, whose skewed
-    partitions AQE splits). The check counts ``probe`` (a cheap DataFrame
-    with one row per row of ``df``, e.g. distinct docvar values of the
-    document table) or else ``df`` itself, stopping after ``max_rows + 1``."""
-    n = (probe if probe is not None else df).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -17,11 +17,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.columns import bounded_broadcast, fence
+from ..functions.columns import fence
 
-MAX_BROADCAST_ROWS = 2_000_000
 
 COUNT_TYPE = "array<struct<term:string,n:bigint>>"
 
@@ -80,17 +78,16 @@ class Dfm:
         cols = [c for c in cols if c != self.id_col]
         if self.rows is not None:
             return self.rows.select(self.id_col, *cols, F.inline("counts"))
-        # a grouped dfm has few documents (groups): broadcast them, so a hot
-        # group never lands in one join task
-        docs = self.docs.select(self.id_col, *cols)
-        return self.long_df.join(bounded_broadcast(docs, MAX_BROADCAST_ROWS), self.id_col)
+        # AQE broadcasts the documents by their measured size (a grouped dfm
+        # has few), and splits a skewed partition otherwise
+        return self.long_df.join(self.docs.select(self.id_col, *cols), self.id_col)
 
     @property
     def nested(self) -> bool:
         return self.rows is not None
 
     def materialize(self) -> "Dfm":
-        """Counts computed once and checkpointed (see ``session.materialize``):
+        """Counts computed once and stored (see ``session.materialize``):
         operators that read the dfm twice (trim, tf-idf, stem) then reread
         stored counts instead of tokenizing the texts again."""
         from ..session import materialize
@@ -153,7 +150,7 @@ def term_totals(d: Dfm) -> DataFrame:
     one aggregate (A1, A2; J1 needs no join). Partial aggregation before the
     shuffle keeps a hot term to one row per map task."""
     return d.long.groupBy("term").agg(F.sum("n").alias("nb_terms"),
-                                      F.count(F.lit(1)).alias("nb_docs"))
+                                      F.count_if(F.col("n") > 0).alias("nb_docs"))
 
 
 def trim_features(d: Dfm, min_termfreq: int | None) -> Dfm:
@@ -186,7 +183,7 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
     """Weights (M7-M11): count | relfreq | relmaxfreq | logfreq | tfidf.
 
     Per-document totals are computed inside the row for a nested dfm and by
-    a window partitioned on the document for a long one; tf-idf joins the
+    an aggregate joined back for a long one; tf-idf joins the
     document frequency of each term (one aggregate by term)."""
     if scheme in ("count", "frequency"):
         return d
@@ -205,11 +202,12 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
         rows = rows.drop("__tot")
         return Dfm(docs=d.docs, rows=rows, id_col=idc, value_type="double")
     long_df = d.long
-    w = Window.partitionBy(idc)
-    if scheme == "relfreq":
-        val = F.col("n") / F.sum("n").over(w)
-    elif scheme == "relmaxfreq":
-        val = F.col("n") / F.max("n").over(w)
+    if scheme in ("relfreq", "relmaxfreq"):
+        # one row per document from a partial aggregate; a window would bring
+        # all terms of a (grouped) document into one task
+        total = F.sum("n") if scheme == "relfreq" else F.max("n")
+        long_df = long_df.join(long_df.groupBy(idc).agg(total.alias("__tot")), idc)
+        val = F.col("n") / F.col("__tot")
     elif scheme == "logfreq":
         val = 1 + F.log10("n")
     elif scheme == "tfidf":
@@ -225,12 +223,12 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
 
 
 def presence(d: Dfm) -> Dfm:
-    """Counts to presence 1/0."""
+    """Counts to presence (M12): 1 where the value is above 0, else 0."""
     if d.rows is not None:
         rows = d.rows.withColumn("counts", F.transform(
-            "counts", lambda c: F.struct(c["term"].alias("term"), F.lit(1).cast("bigint").alias("n"))))
+            "counts", lambda c: F.struct(c["term"].alias("term"), (c["n"] > 0).cast("bigint").alias("n"))))
         return Dfm(docs=d.docs, rows=rows, id_col=d.id_col)
-    return Dfm(docs=d.docs, long_df=d.long_df.withColumn("n", F.lit(1).cast("bigint")),
+    return Dfm(docs=d.docs, long_df=d.long_df.withColumn("n", (F.col("n") > 0).cast("bigint")),
                id_col=d.id_col)
 
 

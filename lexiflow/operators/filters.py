@@ -60,7 +60,7 @@ def domains_of(domains_df: DataFrame) -> dict:
     out = {}
     for r in domains_df.collect():
         if r["levels"] is not None:
-            out[r["name"]] = r["levels"].split(", ")
+            out[r["name"]] = list(r["levels"])
         else:
             out[r["name"]] = (r["min_value"], r["max_value"])
     return out

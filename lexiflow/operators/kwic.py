@@ -78,10 +78,10 @@ def kwic_table(kw: DataFrame) -> DataFrame:
 
 
 def term_positions(tokens_df: DataFrame, terms: Sequence[str] | None = None,
-                   phrase: Sequence[str] | str | None = None, max_docs: int = POSITIONS_MAX_DOCS,
+                   phrase: Sequence[str] | str | None = None, max_docs: int | None = None,
                    tokens_col: str = "tokens") -> DataFrame:
-    """Dispersion data (K5): ``doc_id, from, ntokens, rel_pos`` for the first
-    ``max_docs`` matched documents in id order (D12: documents, not rows).
+    """Dispersion data (K5): ``doc_id, from, ntokens, rel_pos`` of all matched
+    documents or of the first ``max_docs`` in id order (D12: documents, not rows).
     Hit positions stay an array in the document row, the first documents
     are a top-k over document rows, and only their hits are exploded."""
     if isinstance(phrase, str):
@@ -89,7 +89,9 @@ def term_positions(tokens_df: DataFrame, terms: Sequence[str] | None = None,
     tok = F.col(tokens_col)
     pos, _ = _hit_positions(tok, terms, phrase)
     docs = (tokens_df.select("doc_id", fence(pos).alias("__pos"), F.size(tok).alias("ntokens"))
-            .filter(F.size("__pos") > 0).orderBy("doc_id").limit(max_docs))
+            .filter(F.size("__pos") > 0))
+    if max_docs is not None:
+        docs = docs.orderBy("doc_id").limit(max_docs)
     return docs.select("doc_id", F.explode("__pos").alias("from"), "ntokens").select(
         "doc_id", F.col("from").cast("bigint").alias("from"), F.col("ntokens").cast("bigint").alias("ntokens"),
         F.round(F.col("from") / F.col("ntokens"), 4).alias("rel_pos"))

@@ -112,7 +112,7 @@ def keep_pos(pos: Sequence[str]) -> Column:
 
 
 def frequent_lemmas(parsed: DataFrame, keep: Column | None = None, unit: str = "document",
-                    limit: int | None = 10000) -> DataFrame:
+                    limit: int | None = None) -> DataFrame:
     """Frequent-terms table of lowercased lemmas of the kept tokens (A17):
     ``term, nb_terms, nb_docs, prop_docs``; ``keep`` is a row condition such
     as ``keep_pos([...])``. ``unit="document"`` counts documents (D10), the

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.patterns import quote_regex
 from ..functions.query import parse, query_terms, result_column, term_forms, written_terms
-from .dfm import Dfm, presence
+from .dfm import Dfm, dfm_select, presence
 
 
 def search(d: Dfm, query: str, binary: bool = False, lowercase: bool = True,
@@ -38,7 +38,7 @@ def search(d: Dfm, query: str, binary: bool = False, lowercase: bool = True,
     idc = d.id_col
     if d.rows is not None:
         rows = d.rows.withColumn("__hits", F.filter("counts", lambda c: c["term"].isin(terms)))
-        zero = F.lit(0).cast("bigint")
+        zero = F.lit(0).cast(d.value_type)
 
         def term_col(t: str) -> Column:
             return F.aggregate("__hits", zero, lambda a, c: a + F.when(c["term"] == t, c["n"])
@@ -83,18 +83,18 @@ def matched_documents_total(tab: DataFrame) -> DataFrame:
 
 def search_series(tab: DataFrame, kind: str = "categorical", measure: str = "prop_docs") -> DataFrame:
     """Plot series of a group table (Q16, Q17): categorical groups with a
-    zero share dropped and ordered by the measure; numeric/date groups
-    ordered by value. ``order`` is the position on the axis."""
+    zero share dropped and ordered by the measure, ``order`` being the
+    position on the axis; numeric/date groups ordered by value, which is the
+    position itself (they are as many as distinct values, so they are range
+    partitioned and never numbered in one task)."""
     if measure not in ("freq", "nb_docs", "prop_docs"):
         raise ValueError("measure must be freq, nb_docs or prop_docs")
     if kind == "categorical":
         t = tab.filter(F.col("prop_docs") > 0)
         w = Window.orderBy(F.col(measure).asc(), F.col("group").asc_nulls_first())
-    else:
-        t = tab
-        w = Window.orderBy(F.col("group").asc_nulls_last())
-    # a group table has one row per docvar value (under 100 for categorical)
-    return t.withColumn("order", F.row_number().over(w))
+        # one row per level of a categorical docvar
+        return t.withColumn("order", F.row_number().over(w))
+    return tab.orderBy(F.col("group").asc_nulls_last())
 
 
 def group_table(tab: DataFrame) -> DataFrame:
@@ -105,20 +105,23 @@ def group_table(tab: DataFrame) -> DataFrame:
 def search_documents(hits: DataFrame, start: int = 1, size: int = 10,
                      order_col: str = "doc_id") -> DataFrame:
     """Matched documents ``start … start+size-1`` in corpus order."""
-    size = max(1, min(int(size), 100))
-    start = max(1, int(start))
-    return hits.filter(F.col("n") > 0).orderBy(order_col).offset(start - 1).limit(size)
+    if int(size) < 1 or int(start) < 1:
+        raise ValueError("start and size must be 1 at least")
+    return hits.filter(F.col("n") > 0).orderBy(order_col).offset(int(start) - 1).limit(int(size))
 
 
 def page_bounds(total: DataFrame, start: int = 1, size: int = 10) -> DataFrame:
     """Page label and steps from a one-row total (Q11): ``start, end, total,
     label, next_start (NULL when none), prev_start``."""
-    s, z = max(1, int(start)), max(1, min(int(size), 100))
+    s, z = int(start), int(size)
+    if s < 1 or z < 1:
+        raise ValueError("start and size must be 1 at least")
     tot = F.col("nb_docs")
     end = F.least(F.lit(s + z - 1), tot)
+    first = F.when(tot > 0, F.lit(s)).otherwise(F.lit(0))  # no hits: "0 to 0 of 0"
     return total.select(
-        F.lit(s).alias("start"), end.alias("end"), tot.alias("total"),
-        F.format_string("%d to %d of %d", F.lit(s), end, tot).alias("label"),
+        first.alias("start"), end.alias("end"), tot.alias("total"),
+        F.format_string("%d to %d of %d", first, end, tot).alias("label"),
         F.when(F.lit(s + z) <= tot, F.lit(s + z)).alias("next_start"),
         F.greatest(F.lit(1), F.lit(s - z)).alias("prev_start"))
 
@@ -129,7 +132,7 @@ def missing_terms(d: Dfm, terms: Sequence[str]) -> DataFrame:
     spark = d.docs.sparkSession
     terms = list(dict.fromkeys(terms))
     q = spark.createDataFrame([(t,) for t in terms], "term string")
-    present = d.long.select("term").filter(F.col("term").isin(terms)).distinct()
+    present = dfm_select(d, terms).long.select("term").filter(F.col("term").isin(terms)).distinct()
     return q.join(present, "term", "left_anti")
 
 
@@ -198,8 +201,8 @@ def search_kwic_hits(hits: DataFrame, tokens_df: DataFrame, terms: Sequence[str]
 
 
 def doc_metadata(docs: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Docvars of each document as ``name: value`` text, NULL shown as NA
-    (Q15)."""
-    items = [F.concat(F.lit(c + ": "), F.coalesce(F.col(c).cast("string"), F.lit("NA")))
-             for c in cols]
-    return docs.select("doc_id", F.concat_ws(", ", *items).alias("metadata"))
+    """Docvars of each document as name/value pairs, NULL shown as NA (Q15):
+    ``doc_id, name, value``, one row per pair."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("value"))
+                      for c in cols])
+    return docs.select("doc_id", F.inline(pairs))

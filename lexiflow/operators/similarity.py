@@ -12,11 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bounded_broadcast
 from .dfm import Dfm
 
-MAX_BROADCAST_DOCS = 1_000_000
-
 METHODS = ("correlation", "cosine", "jaccard")
 
 
@@ -31,16 +28,15 @@ def _stats(d: Dfm, term: str) -> DataFrame:
         # the long table: both sides then share one exchange
         y = d.long_df.filter(F.when(F.col("term") == term, F.col("n")).isNotNull()) \
             .select(idc, F.col("n").alias("__y"))
-        # at most one row per document: broadcast when the document table is
-        # measured small (e.g. a grouped dfm, where a hot group would skew a
-        # shuffle join); otherwise a shuffle join on an id without skew
-        long = d.long_df.join(bounded_broadcast(y, MAX_BROADCAST_DOCS, probe=d.docs), idc, "left")
+        # at most one row per document: AQE broadcasts it by its measured size
+        # (e.g. a grouped dfm) and splits skewed partitions otherwise
+        long = d.long_df.join(y, idc, "left")
     x = F.col("n").cast("double")
     yy = F.col("__y").cast("double")
     return long.groupBy("term").agg(
-        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.count(F.lit(1)).alias("dfx"),
+        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.count_if(x > 0).alias("dfx"),
         F.sum(F.coalesce(x * yy, F.lit(0.0))).alias("sxy"),
-        F.count("__y").alias("common"))
+        F.count_if((x > 0) & (yy > 0)).alias("common"))
 
 
 def cooccurring_docs(d: Dfm, term: str) -> DataFrame:
@@ -83,7 +79,7 @@ def term_similarity(d: Dfm, term: str, method: str = "correlation") -> DataFrame
         # zero weights (e.g. tf-idf of a term in every document) give NULL, not an error
         sim = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
     else:
-        sim = c / (dfx + dfy - c)
+        sim = F.try_divide(c, dfx + dfy - c)
     match = (c + (n - dfx - dfy + c)) / n
     return t.select("term", F.round(sim, 4).alias("similarity"),
                     F.round(match, 4).alias("simple_matching"),

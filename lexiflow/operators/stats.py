@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bounded_broadcast
 from .dfm import Dfm, term_totals
 
+#: Rows of the frequent-terms table (passed by its queries only).
 FREQUENT_TERMS_MAX = 10000
 
 
@@ -22,7 +22,7 @@ def ndoc_scalar(d: Dfm):
     return d.docs.agg(F.count(F.lit(1))).scalar()
 
 
-def frequent_terms(d: Dfm, limit: int | None = FREQUENT_TERMS_MAX) -> DataFrame:
+def frequent_terms(d: Dfm, limit: int | None = None) -> DataFrame:
     """``term, nb_terms, nb_docs, prop_docs`` ordered by frequency (A1-A4).
     ``prop_docs`` is the share of *all* documents, 2 decimals."""
     out = term_totals(d).select("term", "nb_terms", "nb_docs",
@@ -49,7 +49,7 @@ def top_features(d: Dfm, n=20, scheme: str = "count", groups: str | None = None)
     n = _top_n(n)
     if scheme not in ("count", "docfreq"):
         raise ValueError("scheme must be count or docfreq")
-    val = F.sum("n") if scheme == "count" else F.count(F.lit(1))
+    val = F.sum("n") if scheme == "count" else F.count_if(F.col("n") > 0)
     if groups is None:
         agg = d.long.groupBy("term").agg(val.alias("value"))
         w = Window.orderBy(F.desc("value"), F.asc("term"))
@@ -65,9 +65,10 @@ def top_features(d: Dfm, n=20, scheme: str = "count", groups: str | None = None)
 def wordcloud_terms(d: Dfm, max_words: int = 30, min_count: int = 1) -> DataFrame:
     """Word-cloud data (A9): most frequent terms with their size relative to
     the most frequent one."""
-    max_words = max(5, min(int(max_words), 1000))
+    if int(max_words) < 1:
+        raise ValueError("max_words must be 1 at least")
     top = (term_totals(d).filter(F.col("nb_terms") >= min_count)
-           .orderBy(F.desc("nb_terms"), F.asc("term")).limit(max_words))
+           .orderBy(F.desc("nb_terms"), F.asc("term")).limit(int(max_words)))
     w = Window.orderBy(F.desc("nb_terms"), F.asc("term"))
     return top.select("term", F.col("nb_terms").alias("freq"),
                       F.round(F.col("nb_terms") / F.max("nb_terms").over(Window.partitionBy()), 4)
@@ -75,29 +76,24 @@ def wordcloud_terms(d: Dfm, max_words: int = 30, min_count: int = 1) -> DataFram
                       F.row_number().over(w).alias("rank"))
 
 
-def comparison_terms(d: Dfm, by: str, max_words: int = 30, max_groups: int = 100_000) -> DataFrame:
+def comparison_terms(d: Dfm, by: str, max_words: int = 30) -> DataFrame:
     """Comparison cloud data (A10): rate of each term in each group minus
     its average rate over all groups (absent = 0); each term goes to the
     group where it deviates most; the ``max_words`` largest deviations.
 
-    Group totals (one row per group) are broadcast when the document table
-    shows at most ``max_groups`` groups; the average over groups is a window
-    partitioned by term, which holds at most one row per group."""
+    Per term one aggregate gives the sum of its rates and the group of the
+    highest one; since the average is the same for all groups of a term, the
+    largest deviation is that of the highest rate. Group totals are one row
+    per group; AQE broadcasts them by their measured size."""
     long = d.long_with([by]).filter(F.col(by).isNotNull())
     gt = long.groupBy(by, "term").agg(F.sum("n").alias("n"))
     tot = gt.groupBy(by).agg(F.sum("n").alias("__tot"))
     groups = d.docs.filter(F.col(by).isNotNull()).select(by).distinct()
     ngroups = groups.agg(F.count(F.lit(1))).scalar()
-    tot = bounded_broadcast(tot, max_groups, probe=groups)
-    w = Window.partitionBy("term")
-    dev = (gt.join(tot, by)
-           .withColumn("rate", F.col("n") / F.col("__tot"))
-           .withColumn("deviation", F.col("rate") - F.sum("rate").over(w) / ngroups))
-    best = dev.groupBy("term").agg(
-        F.max_by(F.struct(F.col("deviation"), F.col(by)), F.struct(F.col("deviation"), F.col(by)))
-        .alias("b"))
+    rates = gt.join(tot, by).select("term", by, (F.col("n") / F.col("__tot")).alias("rate"))
+    best = rates.groupBy("term").agg(F.max(F.struct("rate", by)).alias("b"), F.sum("rate").alias("s"))
     best = best.select("term", F.col("b")[by].alias("group"),
-                       F.round(F.col("b")["deviation"], 6).alias("deviation"))
+                       F.round(F.col("b")["rate"] - F.col("s") / ngroups, 6).alias("deviation"))
     return best.orderBy(F.desc("deviation"), F.asc("term")).limit(int(max_words))
 
 

@@ -21,7 +21,7 @@ from ..operators import search as Q
 from ..operators import similarity as H
 from ..operators import stats as A
 from ..operators.filters import filter_date_range, filter_documents, filter_in, filter_range
-from ..operators.stem import stem_features
+from ..operators.stem import SUFFIXES, stem_features, suffix_pattern
 from ..operators.table_view import table_view
 from ..operators.tokens import clean_tokens, corpus_remove_words, tokenize
 from ..options import RAW, TextOptions
@@ -31,6 +31,7 @@ from ..sources.parsed import parsed_tokens
 from ..sources.profile import docvar_domains, usable_docvars
 from ..session import spread
 from . import sql_text as S
+from .chain import explore
 
 DOCVARS = ["lang", "source", "n_chars", "doc_date"]
 LABELS = ["quality", "toxic"]
@@ -133,9 +134,9 @@ def register(name: str, sql: str | None = None):
 
 # ---------------------------------------------------- 1. minimal slice
 
-@register("frequent_terms", _sql(*DEFAULT_SQL, body=S.freq_select()))
+@register("frequent_terms", _sql(*DEFAULT_SQL, body=S.freq_select(limit=A.FREQUENT_TERMS_MAX)))
 def q_frequent_terms(spark, sf):
-    return A.frequent_terms(load_dfm(spark, sf))
+    return A.frequent_terms(load_dfm(spark, sf), limit=A.FREQUENT_TERMS_MAX)
 
 
 # ------------------------------------------------------------ 2. filters
@@ -169,10 +170,10 @@ COMBINED = {"lang": ["en", "fr"], "n_chars": (500, 20000),
 @register("filter_combined", _sql(
     "docs AS (SELECT * FROM (" + S.docs_cte()[len("docs AS ("):-1] + ") WHERE lang IN ('en', 'fr') "
     "AND n_chars BETWEEN 500 AND 20000 AND doc_date BETWEEN DATE '2024-02-01' AND DATE '2024-11-30')",
-    _toks_cte(), S.dfm_cte(), body=S.freq_select(limit=1000)))
+    _toks_cte(), S.dfm_cte(), body=S.freq_select()))
 def q_filter_combined(spark, sf):
     docs = filter_documents(load_corpus(spark, sf), COMBINED)
-    return A.frequent_terms(M.dfm(clean_tokens(docs)), limit=1000)
+    return A.frequent_terms(M.dfm(clean_tokens(docs)))
 
 
 PROFILE_COLS = ["lang", "source", "n_chars", "doc_date", "quality", "toxic"]
@@ -215,7 +216,8 @@ def _domains_sql() -> str:
 
 @register("docvar_domains", _domains_sql())
 def q_docvar_domains(spark, sf):
-    return docvar_domains(load_corpus(spark, sf, labels=True), PROFILE_COLS)
+    dom = docvar_domains(load_corpus(spark, sf, labels=True), PROFILE_COLS)
+    return dom.withColumn("levels", F.array_join("levels", ", "))
 
 
 # ------------------------------------------------------------- 3. tokens
@@ -584,8 +586,10 @@ def _series_sql(by: str, kind: str) -> str:
     order = ("ORDER BY prop_docs, \"group\" NULLS FIRST" if kind == "categorical"
              else "ORDER BY \"group\" NULLS LAST")
     where = " WHERE prop_docs > 0" if kind == "categorical" else ""
-    return (head + ", tab AS (SELECT " + by + " AS \"group\"" + body + ") SELECT *, CAST(row_number() OVER ("
-            + order + ") AS BIGINT) AS \"order\" FROM tab" + where)
+    tab = head + ", tab AS (SELECT " + by + " AS \"group\"" + body + ") SELECT *"
+    if kind != "categorical":
+        return tab + " FROM tab " + order
+    return tab + ", CAST(row_number() OVER (" + order + ") AS BIGINT) AS \"order\" FROM tab" + where
 
 
 @register("search_series_lang", _series_sql("lang", "categorical"))
@@ -596,8 +600,7 @@ def q_search_series_lang(spark, sf):
 
 @register("search_series_numeric", _series_sql("n_chars", "numeric"))
 def q_search_series_numeric(spark, sf):
-    s = Q.search_series(Q.search_by_group(_hits(spark, sf, Q_MAIN), "n_chars"), "numeric")
-    return s.withColumn("order", F.col("order").cast("bigint"))
+    return Q.search_series(Q.search_by_group(_hits(spark, sf, Q_MAIN), "n_chars"), "numeric")
 
 
 @register("matched_documents_total", "WITH " + _by_group_sql("lang")[len("WITH "):].replace(
@@ -686,9 +689,10 @@ def q_search_kwic(spark, sf):
 
 
 @register("doc_metadata", _sql(*SEARCH_SQL, S.hits_cte(Q_META), body=(
-    "SELECT doc_id, 'lang: ' || coalesce(lang, 'NA') || ', source: ' || coalesce(source, 'NA') || "
-    "', n_chars: ' || coalesce(CAST(n_chars AS VARCHAR), 'NA') || ', doc_date: ' || "
-    "coalesce(CAST(doc_date AS VARCHAR), 'NA') AS metadata FROM hits WHERE n > 0")))
+    "SELECT doc_id, 'lang' AS name, coalesce(lang, 'NA') AS value FROM hits WHERE n > 0 UNION ALL "
+    "SELECT doc_id, 'source', coalesce(source, 'NA') FROM hits WHERE n > 0 UNION ALL "
+    "SELECT doc_id, 'n_chars', coalesce(CAST(n_chars AS VARCHAR), 'NA') FROM hits WHERE n > 0 UNION ALL "
+    "SELECT doc_id, 'doc_date', coalesce(CAST(doc_date AS VARCHAR), 'NA') FROM hits WHERE n > 0")))
 def q_doc_metadata(spark, sf):
     hits = _hits(spark, sf, Q_META).filter(F.col("n") > 0)
     return Q.doc_metadata(hits, DOCVARS)
@@ -736,7 +740,7 @@ def q_kwic_table(spark, sf):
     "SELECT doc_id, \"from\", ntokens, round(\"from\" / ntokens, 4) AS rel_pos FROM kw WHERE doc_id IN "
     "(SELECT DISTINCT doc_id FROM kw ORDER BY doc_id LIMIT 80)")))
 def q_term_positions(spark, sf):
-    return K.term_positions(_raw_tokens(spark, sf), ["that"])
+    return K.term_positions(_raw_tokens(spark, sf), ["that"], max_docs=K.POSITIONS_MAX_DOCS)
 
 
 @register("kwic_summary", _sql(RAW_TOK, "kw AS (" + _kwic_sql("rt", ["that"]) + ")", body=(
@@ -749,7 +753,7 @@ def q_kwic_summary(spark, sf):
 # --------------------------------------------------------- 8. similarity
 
 def _sim_sql(term: str, method: str, cols: str, grouped: str | None = None) -> str:
-    ctes = [S.docs_cte(), _toks_cte()]
+    ctes = [S.docs_cte(), _toks_cte().replace("toks AS (", "toks AS MATERIALIZED (", 1)]
     if grouped:
         ctes.append(S.dfm_cte(extra=grouped).replace("dfm AS", "dfm0 AS"))
         ctes.append(f"dfm AS (SELECT {grouped} AS doc_id, term, sum(n) AS n FROM dfm0 "
@@ -772,13 +776,17 @@ def _sim_sql(term: str, method: str, cols: str, grouped: str | None = None) -> s
         "cosine": "sxy / sqrt(sxx * syy)",
         "jaccard": "CAST(common AS DOUBLE) / (CAST(dfx AS DOUBLE) + CAST(dfy AS DOUBLE) - CAST(common AS DOUBLE))",
     }
+    ctes = [c.replace("dfm AS (", "dfm AS MATERIALIZED (", 1).replace("st AS (", "st AS MATERIALIZED (", 1)
+            if c.startswith(("dfm AS (", "st AS (")) else c for c in ctes]
     full = {
         "similarity": f"round({sims[method]}, 4) AS similarity",
         "simple_matching": "round((common + (N - dfx - dfy + common)) / N, 4) AS simple_matching",
         "nb_docs_common": "CAST(common AS BIGINT) AS nb_docs_common",
     }
     sel = ", ".join(["term"] + [full[c] for c in cols.split(", ")])
-    return _sql(*ctes, body=f"SELECT {sel} FROM st, ys, nd")
+    return _sql(*ctes, body=f"SELECT {sel} FROM (SELECT st.*, (SELECT sy FROM ys) AS sy, "
+                "(SELECT syy FROM ys) AS syy, (SELECT dfy FROM ys) AS dfy, (SELECT N FROM nd) AS N FROM st) "
+                "WHERE sy IS NOT NULL")
 
 
 SIM_ALL = "similarity, simple_matching, nb_docs_common"
@@ -863,7 +871,7 @@ def q_replace_texts(spark, sf):
     "pos NOT IN ('PUNCT') GROUP BY doc_id, lower(lemma)) GROUP BY term ORDER BY nb_terms DESC, term "
     "LIMIT 10000")))
 def q_frequent_lemmas(spark, sf):
-    return P.frequent_lemmas(load_parsed(spark, sf), P.keep_pos(["PUNCT"]))
+    return P.frequent_lemmas(load_parsed(spark, sf), P.keep_pos(["PUNCT"]), limit=10000)
 
 
 @register("frequent_lemmas_by_token", _sql(PARSED_CTE, body=(
@@ -872,35 +880,141 @@ def q_frequent_lemmas(spark, sf):
     "WHERE pos IS NULL OR pos NOT IN ('PUNCT') GROUP BY lower(lemma) ORDER BY nb_terms DESC, term "
     "LIMIT 10000")))
 def q_frequent_lemmas_by_token(spark, sf):
-    return P.frequent_lemmas(load_parsed(spark, sf), P.keep_pos(["PUNCT"]), unit="token")
+    return P.frequent_lemmas(load_parsed(spark, sf), P.keep_pos(["PUNCT"]), unit="token", limit=10000)
 
 
 # ------------------------------------------------- 10. stem, table view
 
-@register("stem_features_en")
-def q_stem_features_en(spark, sf):
-    return A.frequent_terms(stem_features(load_dfm(spark, sf, materialize=True), "english"))
+def _stem_query(name: str, language: str):
+    part = (f"coalesce(nullif(regexp_extract(p, {sql_string(suffix_pattern(SUFFIXES[language]))}, 1), ''), p)")
+    stem = f"array_to_string(list_transform(string_split(term, '_'), lambda p: {part}), '_')"
+
+    @register(name, _sql(*[c if not c.startswith("dfm AS") else c.replace("dfm AS", "dfm0 AS", 1) for c in DEFAULT_SQL],
+                         f"dfm AS (SELECT doc_id, {stem} AS term, sum(n) AS n FROM dfm0 GROUP BY ALL)",
+                         body=S.freq_select()))
+    def q(spark, sf):
+        return A.frequent_terms(stem_features(load_dfm(spark, sf), language))
+    return q
+
+
+_stem_query("stem_features_en", "english")
+_stem_query("stem_features_de", "german")
+_stem_query("stem_features_es", "spanish")
+_stem_query("stem_features_fr", "french")
+
+
+# ------------------------------------- 11. weighted and grouped work-flows
+
+# Hand-written SQL: counts, then idf over all documents, then the value. The
+# term of every document ("everywhere" below) weighs 0 and counts as absent.
+
+def _marked_docs(spark, sf):
+    """The corpus with the word ``everywhere`` put before each text, so that
+    one term is in every document."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_date", _doc_date())
+    return corpus(d.withColumn("text", F.concat(F.lit("everywhere "), F.coalesce("text", F.lit("")))), docvars=DOCVARS)
+
+
+_MARKED_SQL = [S.docs_cte().replace("docs AS", "docs0 AS", 1),
+               "docs AS (SELECT * REPLACE ('everywhere ' || coalesce(text, '') AS text) FROM docs0)", _toks_cte(), S.dfm_cte(),
+               "nd AS (SELECT CAST(count(*) AS DOUBLE) AS N FROM docs)",
+               "idf AS (SELECT term, log10((SELECT N FROM nd) / count(*)) AS idf FROM dfm GROUP BY term)",
+               "tfidf AS (SELECT doc_id, term, n * idf AS n FROM dfm JOIN idf USING (term))"]
+
+
+def _marked_tfidf(spark, sf):
+    return M.weight(M.dfm(clean_tokens(_marked_docs(spark, sf))).materialize(), "tfidf")
+
+
+@register("search_binary_on_tfidf", _sql(*_MARKED_SQL, body=(
+    "SELECT doc_id, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS n FROM (SELECT d.doc_id, t.n FROM docs d "
+    "LEFT JOIN (SELECT * FROM tfidf WHERE term IN ('everywhere', 'the')) t USING (doc_id)) GROUP BY doc_id")))
+def q_search_binary_on_tfidf(spark, sf):
+    hits = Q.search(_marked_tfidf(spark, sf), "everywhere + the", binary=True)
+    return hits.select("doc_id", F.col("n").cast("bigint").alias("n"))
+
+
+@register("top_docfreq_on_tfidf", _sql(*_MARKED_SQL, body=(
+    "SELECT CAST(row_number() OVER (ORDER BY value DESC, term) AS BIGINT) AS rank, term, value FROM (SELECT term, "
+    "CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS value FROM tfidf GROUP BY term) ORDER BY value DESC, term LIMIT 20")))
+def q_top_docfreq_on_tfidf(spark, sf):
+    top = A.top_features(_marked_tfidf(spark, sf), 20, "docfreq")
+    return top.select(F.col("rank").cast("bigint").alias("rank"), "term", "value")
 
 
-@register("stem_features_de")
-def q_stem_features_de(spark, sf):
-    docs = filter_in(load_corpus(spark, sf), "lang", ["de"])
-    d = M.dfm(clean_tokens(docs)).materialize()
-    return A.frequent_terms(stem_features(d, "german"))
+@register("sim_jaccard_on_tfidf", _sql(*_MARKED_SQL, (
+    "y AS (SELECT doc_id FROM tfidf WHERE term = 'that' AND n > 0)"), body=(
+    "SELECT term, CAST(count(*) FILTER (WHERE n > 0 AND y.doc_id IS NOT NULL) AS BIGINT) AS nb_docs_common, "
+    "round(CASE WHEN count(*) FILTER (WHERE n > 0) + (SELECT count(*) FROM y) = 0 THEN NULL ELSE "
+    "CAST(count(*) FILTER (WHERE n > 0 AND y.doc_id IS NOT NULL) AS DOUBLE) / (count(*) FILTER (WHERE n > 0) + "
+    "(SELECT count(*) FROM y) - count(*) FILTER (WHERE n > 0 AND y.doc_id IS NOT NULL)) END, 4) AS similarity "
+    "FROM tfidf LEFT JOIN y USING (doc_id) GROUP BY term")))
+def q_sim_jaccard_on_tfidf(spark, sf):
+    return H.term_similarity(_marked_tfidf(spark, sf), "that", "jaccard").select("term", "nb_docs_common", "similarity")
 
 
-@register("stem_features_es")
-def q_stem_features_es(spark, sf):
-    docs = filter_in(load_corpus(spark, sf), "lang", ["es"])
-    d = M.dfm(clean_tokens(docs)).materialize()
-    return A.frequent_terms(stem_features(d, "spanish"))
+@register("search_on_relfreq", _sql(*_MARKED_SQL, body=(
+    "SELECT d.doc_id, round(coalesce(t.n, 0), 6) AS n FROM docs d LEFT JOIN (SELECT doc_id, "
+    "sum(n) FILTER (WHERE term IN ('the', 'of')) / sum(n) AS n FROM dfm GROUP BY doc_id) t USING (doc_id)")))
+def q_search_on_relfreq(spark, sf):
+    d = M.weight(M.dfm(clean_tokens(_marked_docs(spark, sf))), "relfreq")
+    return Q.search(d, "the + of").select("doc_id", F.round("n", 6).alias("n"))
 
 
-@register("stem_features_fr")
-def q_stem_features_fr(spark, sf):
-    docs = filter_in(load_corpus(spark, sf), "lang", ["fr"])
-    d = M.dfm(clean_tokens(docs)).materialize()
-    return A.frequent_terms(stem_features(d, "french"))
+_GROUPED_SQL = [S.docs_cte(), _toks_cte(), S.dfm_cte(extra="source").replace("dfm AS", "dfm0 AS", 1),
+                "dfm AS (SELECT source, term, sum(n) AS n FROM dfm0 WHERE source IS NOT NULL GROUP BY ALL)",
+                "trimmed AS (SELECT * FROM dfm WHERE term IN (SELECT term FROM dfm GROUP BY term HAVING sum(n) >= 5))"]
+
+
+def _grouped(spark, sf):
+    """trim, then group (the dfm explorer's order of the sums is the same)."""
+    return M.group_documents(M.trim_features(load_dfm(spark, sf, materialize=True), 5), "source")
+
+
+def _grouped_weight(name: str, scheme: str, total: str):
+    @register(name, _sql(*_GROUPED_SQL, body=(
+        f"SELECT source, term, round(CAST(n AS DOUBLE) / {total}(n) OVER (PARTITION BY source), 8) AS w FROM trimmed")))
+    def q(spark, sf):
+        d = M.weight(_grouped(spark, sf), scheme)
+        return d.long.select("source", "term", F.round("n", 8).alias("w"))
+    return q
+
+
+_grouped_weight("weight_relfreq_on_grouped", "relfreq", "sum")
+_grouped_weight("weight_relmaxfreq_on_grouped", "relmaxfreq", "max")
+
+
+@register("top_features_on_grouped", _sql(*_GROUPED_SQL, body=(
+    "SELECT CAST(row_number() OVER (ORDER BY value DESC, term) AS BIGINT) AS rank, term, value FROM (SELECT term, "
+    "round(sum(w), 8) AS value FROM (SELECT source, term, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source), 12) "
+    "AS w FROM trimmed) GROUP BY term) ORDER BY value DESC, term LIMIT 20")))
+def q_top_features_on_grouped(spark, sf):
+    d = M.weight(_grouped(spark, sf), "relfreq")
+    top = A.top_features(d, 20)
+    return top.select(F.col("rank").cast("bigint").alias("rank"), "term", F.round("value", 8).alias("value"))
+
+
+@register("page_bounds_empty", _sql(*SEARCH_SQL, S.hits_cte("zzzzqq"), body=(
+    "SELECT CAST(CASE WHEN nb > 0 THEN 1 ELSE 0 END AS BIGINT) AS start, CAST(least(10, nb) AS BIGINT) AS \"end\", "
+    "nb AS total, CASE WHEN nb > 0 THEN '1' ELSE '0' END || ' to ' || CAST(least(10, nb) AS VARCHAR) || ' of ' || "
+    "CAST(nb AS VARCHAR) AS label, CAST(CASE WHEN 11 <= nb THEN 11 END AS BIGINT) AS next_start, "
+    "CAST(1 AS BIGINT) AS prev_start FROM (SELECT CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS nb FROM hits)")))
+def q_page_bounds_empty(spark, sf):
+    pb = Q.page_bounds(Q.search_total(_hits(spark, sf, "zzzzqq")), 1, 10)
+    return pb.select(*[F.col(c).cast("bigint").alias(c) if c != "label" else F.col(c) for c in pb.columns])
+
+
+EXPLORE = TextOptions(stopwords=("the", "of", "and", "de", "la"), ngrams=(1, 2), min_termfreq=3,
+                      dictionary=tuple((k, tuple(v)) for k, v in DICT_FIXED), dictionary_type="fixed")
+
+
+@register("explore_chain", _sql(
+    "docs AS (SELECT * FROM (" + S.docs_cte()[len("docs AS ("):-1] + ") WHERE lang IN ('en', 'fr') "
+    "AND n_chars BETWEEN 500 AND 20000 AND doc_date BETWEEN DATE '2024-02-01' AND DATE '2024-11-30')",
+    *_chain_sql(EXPLORE)[1:], body=(
+        "SELECT * FROM (" + S.freq_select() + ") WHERE nb_terms >= 3")))
+def q_explore_chain(spark, sf):
+    return A.frequent_terms(explore(load_corpus(spark, sf), EXPLORE, COMBINED).dfm)
 
 
 @register("table_view", _sql(*DEFAULT_SQL, "ft AS (" + S.freq_select(limit=None) + ")", body=(

@@ -33,9 +33,8 @@ def explore(corpus_df: DataFrame, opts: TextOptions = TextOptions(),
     docs = filter_documents(corpus_df, filters or {}, domains)
     toks = clean_tokens(docs, opts)
     d = dfm(toks)
-    if opts.stem_language or (opts.min_termfreq and opts.min_termfreq > 0):
-        # stem and trim read the counts twice (and count term tables for
-        # their broadcast checks): compute them once and checkpoint
+    if opts.min_termfreq and opts.min_termfreq > 0:
+        # trim reads the counts twice: compute and store them once
         d = d.materialize()
     if opts.stem_language:
         d = stem_features(d, opts.stem_language)

@@ -114,7 +114,7 @@ def dfm_cte(src: str = "toks", extra: str = "") -> str:
             f"(SELECT {sel}, unnest(tokens) AS term FROM {src}) GROUP BY ALL)")
 
 
-def freq_select(src: str = "dfm", ndocs: str = "(SELECT count(*) FROM docs)", limit: int | None = 10000) -> str:
+def freq_select(src: str = "dfm", ndocs: str = "(SELECT count(*) FROM docs)", limit: int | None = None) -> str:
     lim = f" LIMIT {limit}" if limit else ""
     return (f"SELECT term, CAST(sum(n) AS BIGINT) AS nb_terms, CAST(count(*) AS BIGINT) AS nb_docs, "
             f"round(count(*) / {ndocs} * 100, 2) AS prop_docs FROM {src} GROUP BY term "

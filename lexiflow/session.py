@@ -6,7 +6,7 @@ are already present, except for the local builder used by tests and bench.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,56 +32,36 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    spark.conf.set(SCAN_PARTITIONS, str(cores))
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the checkpoint folder: ``spark.checkpoint.dir`` of the session
-    (the cluster's shared folder) when set. Only a local-mode session without
-    the setting (tests, bench) gets a fresh scratch folder; a cluster session
-    without it gets None, and callers then recompute instead of
-    checkpointing."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return current
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        return None
-    path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+def storage_folder(spark: SparkSession) -> str:
+    """The folder for stored intermediate tables: ``spark.checkpoint.dir``, which
+    a cluster names and all executors share; where it is unset, a folder in
+    the session's warehouse, which executors share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
 
 
-SPREAD_BYTES_PER_CORE = 128 * 1024 * 1024
+#: Session setting: number of partitions to spread a corpus scan over.
+SCAN_PARTITIONS = "lexiflow.scan.partitions"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cluster when a scan cannot: fewer partitions than
-    cores, or an input small enough (at most 128 MB per core by the planner's
-    size estimate) that one shuffle of it is cheap. The partition count
-    alone is not enough: a file with one large row group is cut into several
-    byte ranges, but only one of them holds rows. Large inputs keep their
-    splits, so no shuffle is added at scale."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= cores * SPREAD_BYTES_PER_CORE:
-        return df.repartition(cores)
-    return df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread rows over ``partitions`` (or the session's ``SCAN_PARTITIONS``) for
+    inputs that a scan cannot split, such as one file of one row group. Off
+    unless asked for: inputs of many splits need no shuffle."""
+    partitions = partitions or int(df.sparkSession.conf.get(SCAN_PARTITIONS, None) or 0)
+    return df.repartition(partitions) if partitions else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
-    the session's checkpoint folder (it survives lost executors). Without a
-    checkpoint folder the DataFrame is returned as is (recomputed)."""
-    if ensure_checkpoint_dir(df.sparkSession) is None:
-        return df
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Compute ``df`` once: write it as Parquet to ``folder`` (default: the
+    session's storage folder) and read it back. The lineage ends there, so a
+    lost executor costs a read."""
+    path = f"{folder or storage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -81,21 +81,21 @@ def docvar_domains(df: DataFrame, docvars: Sequence[str] | None = None) -> DataF
         one = df.agg(*aggs)
         pairs = ", ".join(f"'{f.name}', `{f.name}__min`, `{f.name}__max`" for f in ranged)
         parts.append(one.selectExpr(f"stack({len(ranged)}, {pairs}) AS (name, min_value, max_value)")
-                     .withColumn("levels", F.lit(None).cast("string")))
+                     .withColumn("levels", F.lit(None).cast("array<string>")))
     if leveled:
         vals = _stacked(df, leveled).distinct()
         small = (vals.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
                  .filter((F.col("k") > 1) & (F.col("k") < MAX_LEVELS)).select("name"))
         # at most 99 values per kept name: bounded lists
         lv = (vals.join(F.broadcast(small), "name", "left_semi")
-              .groupBy("name").agg(F.array_join(F.sort_array(F.collect_list(
-                  F.coalesce(F.col("value"), F.lit("NA")))), ", ").alias("levels")))
+              .groupBy("name").agg(F.sort_array(F.collect_list(
+                  F.coalesce(F.col("value"), F.lit("NA")))).alias("levels")))
         parts.append(lv.select("name", F.lit(None).cast("string").alias("min_value"),
                                F.lit(None).cast("string").alias("max_value"), "levels"))
     if not parts:
         spark = df.sparkSession
         return spark.createDataFrame([], "name string, kind string, min_value string, "
-                                         "max_value string, levels string")
+                                         "max_value string, levels array<string>")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
