@@ -18,6 +18,6 @@ def test_empty_corpus(spark):
     assert Q.search_by_group(hits, "grp").count() == 0
     assert H.term_similarity(d, "a").count() == 0
     assert K.kwic(clean_tokens(docs), ["a"]).count() == 0
-    assert rows(Q.page_bounds(Q.search_total(hits), 1, 10), "start", "end", "total") == [(1, 0, 0)]
+    assert rows(Q.page_bounds(Q.search_total(hits), 1, 10), "start", "end", "total") == [(0, 0, 0)]
     assert A.top_features(d, 5).count() == 0
     assert M.weight(d, "tfidf").long.count() == 0
