@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from fractions import Fraction
 from functools import lru_cache
 
@@ -44,16 +45,26 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 TAIL = b".,!?;:%#$&*|"
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def word_encoder(path: str, cache_words: int = 400_000, batch: int = 2000):
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids.
 
     The tokenizer replaces white space by one space and no token spans it, so
     a text's ids are those of its words. It also cuts a word between a letter
     or digit and punctuation, and ignores case, so closing punctuation is
-    looked up apart. Words seen before are not encoded again."""
+    looked up apart. Words seen before are not encoded again, and a word of Latin
+    letters, which the tokenizer leaves whole, goes straight to its BPE model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
+    model, table = tok.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
     known: dict[bytes, bytes] = {}
     parts: dict[bytes, bytes] = {}
 
@@ -75,11 +86,21 @@ def word_encoder(path: str, cache_words: int = 400_000, batch: int = 2000):
             if len(parts) > cache_words:
                 parts.clear()
             cut = [split(w) for w in new]
-            fresh = list({p for c in cut for p in c if p not in parts})
+            fresh = []
+            for p in {p for c in cut for p in c if p not in parts}:
+                if p.isalpha():  # ASCII letters in lower case
+                    parts[p] = array("I", [t.id for t in model.tokenize(p.decode())]).tobytes()
+                    continue
+                word = p.decode()
+                if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word and b"<|" not in p:
+                    spelled = word.lower().encode().decode("latin-1").translate(table)
+                    parts[p] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+                else:
+                    fresh.append(p)
             for i in range(0, len(fresh), batch):
                 some = fresh[i:i + batch]
                 for p, e in zip(some, tok.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                    parts[p] = np.array(e.ids, "<u4").tobytes()
+                    parts[p] = array("I", e.ids).tobytes()
             for w, c in zip(new, cut):
                 known[w] = parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]]
         return b"".join(map(known.__getitem__, words))
