@@ -272,8 +272,8 @@ def two_highest(text: np.ndarray, margin: np.ndarray, n: int, lowest: float) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-        max_labelled: int = 10_000, toxic_landmarks: int = 64, common_landmarks: int = 32, floor: float = 0.7,
-        max_sentences: int = 32, rounds: int = 4) -> dict:
+        max_labelled: int = 8_000, toxic_landmarks: int = 64, common_landmarks: int = 32, floor: float = 0.7,
+        max_sentences: int = 12, rounds: int = 4) -> dict:
     """The model from ``labels`` (``id_col``, ``toxic`` 0/1; other values are
     left out, and of repeated labels the highest counts) and their texts.
 
@@ -352,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None,
-          block_chars: int = 4 << 20) -> DataFrame:
+          block_chars: int = 1 << 20) -> DataFrame:
     """``docs`` (or the columns ``keep``) with ``score``, the probability of
     toxicity, and ``predicted``; existing columns of these names are replaced."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "__text")]
