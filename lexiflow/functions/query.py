@@ -6,7 +6,7 @@ Grammar, loosest to tightest (R's order):
     not  := "!" not | cmp
     cmp  := sum (("<" | "<=" | ">" | ">=" | "==" | "!=") sum)?
     sum  := prod (("+" | "-") prod)*
-    prod := unary ("*" unary)*
+    prod := unary (("*" | "/") unary)*
     unary:= "-" unary | atom
     atom := NUMBER | TERM | "`" any text "`" | "(" or ")"
 A term is a run of letters, digits, ``_`` and inner apostrophes. A number
@@ -28,7 +28,7 @@ _TOKEN = re.compile(r"""
   | (?P<num>\d+(?:\.\d+)?(?![\w'’]))
   | (?P<bq>`[^`]*`)
   | (?P<term>[^\W]+(?:['’][^\W]+)*)
-  | (?P<op>\|\||&&|<=|>=|==|!=|[|&!<>+\-*()])
+  | (?P<op>\|\||&&|<=|>=|==|!=|[|&!<>+\-*/()])
 """, re.VERBOSE | re.UNICODE)
 
 
@@ -114,9 +114,11 @@ class _Parser:
 
     def p_prod(self):
         node = self.p_unary()
-        while self.take("*"):
-            node = Node("bin", "*", (node, self.p_unary()))
-        return node
+        while True:
+            op = self.take("*", "/")
+            if not op:
+                return node
+            node = Node("bin", op, (node, self.p_unary()))
 
     def p_unary(self):
         if self.take("-"):
@@ -222,6 +224,11 @@ def compile_query(node: Node, term_col: Callable[[str], Column], lowercase: bool
             return a - b, "num"
         if op == "*":
             return a * b, "num"
+        if op == "/":
+            # as in R: x / 0 is infinite, 0 / 0 is not a number (NULL, never a hit)
+            x = a.cast("double")
+            return (F.when(b != 0, F.try_divide(x, b.cast("double"))).when(x > 0, F.lit(float("inf")))
+                    .when(x < 0, F.lit(float("-inf")))), "num"
         return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b,
                 "==": a == b, "!=": a != b}[op], "bool"
     return go(node)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fence
+from .tokens import matches_words
 
 KWIC_WINDOW = 7
 POSITIONS_MAX_DOCS = 80
@@ -38,7 +39,7 @@ def _hit_positions(tok: Column, terms: Sequence[str] | None, phrase: Sequence[st
         k = 1
 
         def pred(i):
-            return F.lower(F.element_at(tok, i)).isin(words)
+            return matches_words(F.element_at(tok, i), words)
         last = n
     pos = F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), pred)) \
         .otherwise(F.array().cast("array<int>"))
@@ -49,7 +50,7 @@ def kwic(tokens_df: DataFrame, terms: Sequence[str] | None = None,
          phrase: Sequence[str] | str | None = None, window: int = KWIC_WINDOW,
          tokens_col: str = "tokens", with_size: bool = False) -> DataFrame:
     """``doc_id, from, to, pre, keyword, post`` (K1, K2): case-insensitive
-    match of single words (``terms``) or of a whole ``phrase``; ``from``/``to``
+    match of single words (``terms``, with ``*`` and ``?`` as globs) or of a whole ``phrase``; ``from``/``to``
     are 1-based token positions, ``pre``/``post`` up to ``window`` tokens."""
     if isinstance(phrase, str):
         phrase = phrase.split()

@@ -73,16 +73,25 @@ def tokenize(df: DataFrame, opts: TextOptions = TextOptions(), text_col: str = "
 
 def remove_stopwords_expr(tokens: Column | str, stopwords: Iterable[str],
                           tokens_lowercased: bool = False) -> Column:
-    """Drop tokens equal (case-insensitively) to a stop word; neighbours close
+    """Drop tokens that match a stop word (case-insensitively); neighbours close
     up. Duplicates in the token array are all removed or all kept. With
-    ``tokens_lowercased`` the tokens are compared as they are."""
+    ``tokens_lowercased`` plain words are compared as they are. Words with
+    ``*`` or ``?`` are globs."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     stops = sorted({s.lower() for s in stopwords if s is not None and s != ""})
     if not stops:
         return tokens
-    if tokens_lowercased:
-        return F.filter(tokens, lambda t: ~t.isin(stops))
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(stops))
+    return F.filter(tokens, lambda t: ~matches_words(t, stops, tokens_lowercased))
+
+
+def matches_words(token: Column, words: Sequence[str], lowercased: bool = False) -> Column:
+    """Does a token match one of the words? Words with ``*`` or ``?`` are globs
+    (one anchored regex for all of them), the others are compared whole."""
+    low = token if lowercased else F.lower(token)
+    plain = [w for w in words if not any(c in w for c in "*?")]
+    globs = [glob_to_regex(w)[len("(?iu)^"):-1] for w in words if any(c in w for c in "*?")]
+    found = low.isin(plain) if plain else F.lit(False)
+    return found | token.rlike("(?iu)^(?:" + "|".join(globs) + ")$") if globs else found
 
 
 def _gram(tokens: Column, k: int, sep: str):

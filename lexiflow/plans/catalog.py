@@ -25,7 +25,7 @@ from ..operators.stem import SUFFIXES, stem_features, suffix_pattern
 from ..operators.table_view import table_view
 from ..operators.tokens import clean_tokens, corpus_remove_words, tokenize
 from ..options import RAW, TextOptions
-from ..sources.corpus import corpus, corpus_head, replace_texts, with_raw
+from ..sources.corpus import corpus, corpus_head, raw_of, replace_texts, with_raw
 from ..sources.lexicon import ENGLISH_STOPWORDS, dictionary_from_lines, dictionary_to_lines
 from ..sources.parsed import parsed_tokens
 from ..sources.profile import docvar_domains, usable_docvars
@@ -1004,6 +1004,43 @@ def q_page_bounds_empty(spark, sf):
     return pb.select(*[F.col(c).cast("bigint").alias(c) if c != "label" else F.col(c) for c in pb.columns])
 
 
+# The ratio of two terms, as R divides: x / 0 is infinite, 0 / 0 never a hit.
+@register("search_ratio", _sql(*DEFAULT_SQL, body=(
+    "SELECT doc_id, CASE WHEN o <> 0 THEN CAST(t AS DOUBLE) / o > 2 ELSE t > 0 END::BIGINT AS n FROM (SELECT d.doc_id, "
+    "coalesce(sum(f.n) FILTER (WHERE f.term = 'the'), 0) AS t, coalesce(sum(f.n) FILTER (WHERE f.term = 'of'), 0) AS o "
+    "FROM docs d LEFT JOIN (SELECT * FROM dfm WHERE term IN ('the', 'of')) f USING (doc_id) GROUP BY d.doc_id) "
+    "WHERE t > 0 OR o > 0")))
+def q_search_ratio(spark, sf):
+    return _hits(spark, sf, "the / of > 2").where("n is not null").select("doc_id", "n")
+
+
+@register("stopword_globs", _sql(*DEFAULT_SQL, body=S.freq_select(
+    src="(SELECT * FROM dfm WHERE NOT (term = 'of' OR term LIKE 'th%' OR term LIKE '%ing' OR term LIKE 'd_r'))")))
+def q_stopword_globs(spark, sf):
+    return A.frequent_terms(load_dfm(spark, sf, TextOptions(stopwords=("of", "th*", "*ing", "d?r"))))
+
+
+@register("kwic_glob", _sql(RAW_TOK, body=(
+    f"SELECT {KW_COLS} FROM (" + _kwic_sql("rt", ["that"]).replace(
+        "lower(tokens[i]) IN ('that')", "(lower(tokens[i]) LIKE 'thb%' OR lower(tokens[i]) = 'that')") + ")")))
+def q_kwic_glob(spark, sf):
+    return K.kwic(_raw_tokens(spark, sf), ["thb*", "that"])
+
+
+@register("raw_of_filtered", _sql(S.docs_cte(), body=(
+    "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM docs WHERE lang = 'fr' AND n_chars > 1000)")))
+def q_raw_of_filtered(spark, sf):
+    chosen = filter_documents(load_corpus(spark, sf), {"lang": ["fr"], "n_chars": (1001, 10 ** 9)})
+    return raw_of(chosen, spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text")
+
+
+@register("dfm_from_long_totals", _sql(*DEFAULT_SQL, body=(
+    "SELECT term, CAST(sum(n) AS BIGINT) AS nb_terms, CAST(count(*) AS BIGINT) AS nb_docs FROM dfm GROUP BY term")))
+def q_dfm_from_long_totals(spark, sf):
+    made = load_dfm(spark, sf)
+    return M.term_totals(M.dfm_from_long(made.docs, made.long))
+
+
 EXPLORE = TextOptions(stopwords=("the", "of", "and", "de", "la"), ngrams=(1, 2), min_termfreq=3,
                       dictionary=tuple((k, tuple(v)) for k, v in DICT_FIXED), dictionary_type="fixed")
 
