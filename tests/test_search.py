@@ -90,8 +90,8 @@ def test_search_kwic_and_metadata(spark, four_docs, d4):
     assert kw2 == kw
     assert kw == {2: "...this is <strong>another</strong> one...",
                   3: "...and this is yet <strong>another</strong> text..."}
-    md = {r["doc_id"]: r["metadata"] for r in Q.doc_metadata(four_docs, ["grp"]).collect()}
-    assert md[4] == "grp: NA" and md[1] == "grp: a"
+    md = {(r["doc_id"], r["name"]): r["value"] for r in Q.doc_metadata(four_docs, ["grp"]).collect()}
+    assert md[4, "grp"] == "NA" and md[1, "grp"] == "a"
 
 
 def test_highlight_quotes_metacharacters(spark):
@@ -126,3 +126,16 @@ def test_strict_with_dictionary_keys(spark):
     assert dict(rows(Q.search(d, "COUNTRY & the", strict=True).select("doc_id", "n"))) == {1: 1}
     with pytest.raises(ValueError, match="zzz"):
         Q.search(d, "COUNTRY | zzz", strict=True)
+
+
+def test_weighted_search_presence_and_division(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, "a")], "doc_id long, text string")
+    d = M.dfm(clean_tokens(docs))
+    tfidf = M.weight(d.materialize(), "tfidf")
+    n = lambda x: [r["n"] for r in x.orderBy("doc_id").collect()]
+    assert n(Q.search(tfidf, "a", binary=True)) == [0, 0, 0]       # in every document: weight 0
+    assert n(Q.search(tfidf, "b", binary=True)) == [1, 0, 0]
+    assert [round(x, 3) for x in n(Q.search(M.weight(d, "relfreq"), "b"))] == [0.667, 0.0, 0.0]
+    assert n(Q.search(d, "b / a > 1")) == [1, 0, 0]
+    assert n(Q.search(d, "a / c")) == [float("inf"), 1.0, float("inf")]
+    assert n(Q.search(d, "b / c")) == [float("inf"), 0.0, None]
