@@ -1,5 +1,7 @@
 """Operators on words, windows and fingerprints against brute force."""
 import hashlib
+import itertools
+import math
 from collections import Counter
 
 import xxhash
@@ -122,3 +124,29 @@ def test_leaks_tolerate_substitutions(spark, odd, none):
         assert got[2].item_matches == 26
     assert leaks(none, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
     assert leaks(odd, bench).count() == 0
+
+
+def test_leaks_find_every_admitted_substitution(spark):
+    """All patterns of substituted tokens, of items of 1 to 15 tokens."""
+    items, docs = [], []
+    for n in range(1, 16):
+        words = [f"n{n}k{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in itertools.combinations(range(n), n - math.ceil(0.8 * n)):
+            docs.append((len(docs), n, " ".join("other" if k in gone else w for k, w in enumerate(words))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(table, bench).collect()}
+    assert got == {(i, n) for i, n, _ in docs}
+
+
+def test_leaks_of_short_unspaced_and_unnamed_items(spark):
+    han = "".join(chr(0x4E00 + 37 * k) for k in range(60))
+    bench = spark.createDataFrame([(1, "How old is he?"), (None, " ".join(f"u{i}" for i in range(20))),
+                                   (None, " ".join(f"v{i}" for i in range(20))), (4, han), (5, "\u0e2a\u0e27\u0e22\u0e07\u0e32\u0e21"),
+                                   (6, " ... ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "He asked: how old is he"), (2, "how old was he"), (3, "x " + " ".join(f"u{i}" for i in range(20))),
+                                  (4, "vorher" + han[:9] + "\u3042" + han[10:] + "nachher"), (5, han[:11] + "\u3002"),
+                                  (6, "a\u0e2a\u0e27\u0e22\u0e07\u0e32\u0e21b"), (7, " ... ")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.item_tokens, r.matches) for r in leaks(docs, bench).collect())
+    assert got == [(1, 1, 4, 4), (3, None, 20, 15), (4, 4, 60, 15), (6, 5, 6, 6)]
