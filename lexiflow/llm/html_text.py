@@ -4,11 +4,16 @@ A page is cut into blocks at block-level tags. Containers that name themselves
 (``nav``, ``footer``, ``aside``, forms, or a class, id or role such as ``ad`` or
 ``comments``) decide their blocks as bad. Of the others, pass one decides by
 link density, length and stop-word density: good, bad or ambiguous (short, or
-too few stop words to tell). Pass two gives each ambiguous block the label of
+too few stop words to tell). The stop words are those of four languages; long
+blocks with few links that fit none of them are good by their length if they
+are written in another script, or if they hold more of the page than the blocks
+that fit one. Pass two gives each ambiguous block the label of
 its nearest decided neighbours: good if both sides are good, or the nearer
 side's label. The edge of an ``article`` or ``main`` element counts as a good
 neighbour inside it, the edge of the page as a bad one; if a page has such an
-element, blocks outside it are bad.
+element, blocks outside it are bad, unless they hold more good text than it
+(a story beside teasers). Such an element in a bad container is bad like it,
+unless the page has no other text.
 
 Pages are independent, so every task reads its own; nothing is shuffled.
 
@@ -54,7 +59,12 @@ TOKENS = re.compile(
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
-GOOD, BAD, AMBIGUOUS = 1, 0, -1
+WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+LATIN = re.compile("[a-z\u00aa-\u024f\u1e00-\u1eff]")
+
+GOOD, BAD, AMBIGUOUS, FOREIGN = 1, 0, -1, -2
+#: An article or main element outside and inside a bad container.
+OPEN, HELD = 1, 2
 
 
 def named_bad(attrs: str) -> bool:
@@ -66,10 +76,11 @@ def named_bad(attrs: str) -> bool:
     return bool(HIDDEN.search(attrs))
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters within links, container is bad, within an article)."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def blocks(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters within links, container is bad, the article it is
+    within: 0, ``OPEN`` or ``HELD``)."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     linked, in_link = 0, 0
 
@@ -77,7 +88,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            _, bad, article = stack[-1] if stack else ("", False, False)
+            _, bad, article = stack[-1] if stack else ("", False, 0)
             out.append((text, linked, bad, article))
         parts.clear()
         linked = 0
@@ -107,11 +118,16 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
                         del stack[k:]
                         break
             elif not m["attrs"].rstrip().endswith("/"):
-                _, bad, article = stack[-1] if stack else ("", False, False)
+                _, bad, article = stack[-1] if stack else ("", False, 0)
                 own = named_bad(m["attrs"])
                 if tag in ("article", "main"):
                     # an article opens a new region, unless a comment or the like
-                    stack.append((tag, own or (bad and article), not own))
+                    if own:
+                        stack.append((tag, True, 0))
+                    elif bad and not article:
+                        stack.append((tag, False, HELD))
+                    else:
+                        stack.append((tag, bad, article or OPEN))
                 else:
                     stack.append((tag, bad or own or tag in BAD_TAGS, article))
     close()
@@ -124,24 +140,33 @@ def classify(text: str, linked: int, max_link: float, short: int, stop_low: floa
     if linked > max_link * size:
         return BAD
     words = re.findall(r"[^\W\d_]+", text.lower())
-    if len(text) < short or not words:
+    if not words or (len(text) < short and len(text) + len(WIDE.findall(text)) < short):
         return BAD if linked else AMBIGUOUS
     density = sum(1 for w in words if w in STOP) / len(words)
-    return GOOD if density >= stop_low else AMBIGUOUS
+    if density >= stop_low:
+        return GOOD
+    letters = "".join(words)
+    return FOREIGN if 2 * len(LATIN.findall(letters)) >= len(letters) else GOOD
 
 
-def extract(html: str | None, max_link: float = 0.3, short: int = 70, stop_low: float = 0.1) -> str:
-    """The text of the main blocks, joined by one space."""
-    every = blocks(html or "")
-    marked = any(article and not bad for _, _, bad, article in every)
-    labels = []
-    for text, linked, bad, article in every:
-        if bad or (marked and not article):
-            labels.append(BAD)
-        else:
-            labels.append(classify(text, linked, max_link, short, stop_low))
+def choose(every: list[tuple[str, int, bool, int]], regions: tuple[int, ...], max_link: float, short: int,
+           stop_low: float) -> str:
+    """The text of the main blocks, with articles of ``regions`` as such."""
     n = len(every)
-    inside = [article and not bad for _, _, bad, article in every]
+    inside = [article in regions and not bad for _, _, bad, article in every]
+    labels = [BAD if bad or (article == HELD and HELD not in regions) else classify(text, linked, max_link, short, stop_low)
+              for text, linked, bad, article in every]
+
+    def chars(of) -> int:
+        return sum(len(every[i][0]) for i in range(n) if of(i))
+
+    # long blocks in no listed language: by length, if the page is mainly in none
+    other = GOOD if chars(lambda i: labels[i] == FOREIGN) > chars(lambda i: labels[i] == GOOD) else AMBIGUOUS
+    labels = [other if label == FOREIGN else label for label in labels]
+    if any(inside) and chars(lambda i: inside[i] and labels[i] != BAD) >= chars(lambda i: not inside[i] and labels[i] == GOOD):
+        labels = [label if own else BAD for label, own in zip(labels, inside)]
+    else:
+        inside = [False] * n
     before: list[tuple[int, int]] = []
     last = (BAD, -1)
     for i in range(n):
@@ -163,6 +188,15 @@ def extract(html: str | None, max_link: float = 0.3, short: int = 70, stop_low:
     return " ".join(e[0] for e, label in zip(every, final) if label == GOOD)
 
 
+def extract(html: str | None, max_link: float = 0.3, short: int = 70, stop_low: float = 0.1) -> str:
+    """The text of the main blocks, joined by one space."""
+    every = blocks(html or "")
+    text = choose(every, (OPEN,), max_link, short, stop_low)
+    if not text and any(article == HELD for *_, article in every):
+        text = choose(every, (OPEN, HELD), max_link, short, stop_low)
+    return text
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **rules) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per page; ``rules`` as in ``extract``."""
     def run(batches):

@@ -195,3 +195,23 @@ def test_html_main_text(spark, none):
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in main_text(pages).collect())
     assert got[0] == got[1] and got[0][1] == got[0][2] and got[2] == (2, 0, 0)
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_html_languages_and_regions():
+    ru = "Вчера вечером жители города собрались на площади, чтобы обсудить новый мост через реку и дорогу."
+    pl = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, żeby omówić budowę nowego mostu przez rzekę."
+    zh = "昨天晚上市民聚集在广场上讨论新桥的建设计划，市长说工程将在明年春天开始，预计需要两年时间才能完成。"
+    en = "The council said that it was to meet in the town hall and that the bridge is for all of the people."
+    menu = "<div><a href='/'>Home</a> <a href='/n'>News</a></div>"
+    for text in (ru, pl, zh):
+        assert extract(f"<body>{menu}<div><p>{text}</p><p>{text}</p></div>{menu}</body>") == f"{text} {text}"
+    # the language of a short notice is not the page's
+    assert extract(f"<body>{menu}<div>{en}</div>{menu}<p>{pl}</p><p>{pl}</p>{menu}</body>") == f"{en} {pl} {pl}"
+    aside = "<aside><article>Teaser of a story</article><article>Another teaser</article></aside>"
+    assert extract(f"<body>{menu}<div><p>{en}</p><p>{en}</p></div>{aside}</body>") == f"{en} {en}"
+    beside = "<article>Teaser of a story</article>"
+    assert extract(f"<body>{beside}<div><p>{en}</p><p>{en}</p></div>{menu}</body>") == f"{en} {en}"
+    # a page wrapped in a form has no other text
+    assert extract(f"<body><form>{menu}<main><p>Short line</p><p>{en}</p></main></form></body>") == f"Short line {en}"
+    # an article keeps its short lines and leaves out what stands beside it
+    assert extract(f"<article><p>{en}</p><p>Short line</p></article><div>Something else</div>") == f"{en} Short line"
