@@ -33,8 +33,3 @@ def parsed3(spark):
         for i, (t, lem, pos) in enumerate(toks, start=1):
             rows.append((d, i, t, lem, pos))
     return spark.createDataFrame(rows, "doc_id long, token_id int, token string, lemma string, upos string")
-
-
-def rows(df, *cols):
-    cols = cols or df.columns
-    return [tuple(r[c] for c in cols) for r in df.collect()]

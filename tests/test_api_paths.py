@@ -2,7 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
-from conftest import rows
+from core_helpers import rows
 from lexiflow.operators import dfm as M
 from lexiflow.operators import search as Q
 from lexiflow.operators import stats as A

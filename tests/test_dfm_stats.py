@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from core_helpers import rows
 from lexiflow.operators import dfm as M
 from lexiflow.operators import stats as A
 from lexiflow.operators.tokens import clean_tokens

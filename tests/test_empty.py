@@ -1,6 +1,6 @@
 """Empty corpus: every operator gives an empty or
 zero result, never an error (ANSI division by zero included)."""
-from conftest import rows
+from core_helpers import rows
 from lexiflow.operators import dfm as M
 from lexiflow.operators import kwic as K
 from lexiflow.operators import search as Q

@@ -1,6 +1,6 @@
 import math
 
-from conftest import rows
+from core_helpers import rows
 from lexiflow.operators import dfm as M
 from lexiflow.operators import kwic as K
 from lexiflow.operators import similarity as H

@@ -1,4 +1,4 @@
-from conftest import rows
+from core_helpers import rows
 from lexiflow.operators import parsed as P
 from lexiflow.sources.corpus import replace_texts
 from lexiflow.sources.lexicon import (dictionary_from_lines, dictionary_from_text, dictionary_to_lines,

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from core_helpers import rows
 from lexiflow.functions.query import parse
 from lexiflow.operators import dfm as M
 from lexiflow.operators import search as Q

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from core_helpers import rows
 from lexiflow.operators import dfm as M
 from lexiflow.operators.filters import filter_documents, filter_in
 from lexiflow.operators.stem import stem_features, suffix_mapping
