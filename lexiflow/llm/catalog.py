@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import context_tree, language_id, toxicity
+from lexiflow.llm import context_tree, language_id, run_index, toxicity
 from lexiflow.llm.common import id_remainder, table
 from lexiflow.llm.decontaminate import MASKS, SPAN, leaks
 from lexiflow.llm.html_text import main_text
@@ -78,8 +78,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op13_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = run_index.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return out.drop("kept", "removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op6_html_extraction, op7_substring_dedup, op8_lm_scoring, op9_sanitisation, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op6_html_extraction, op7_substring_dedup, op8_lm_scoring, op9_sanitisation, op10_simhash,
+                              op13_run_index)
 }
 
 #: The seeds of operator 3 in SQL: the selected tokens of each mask in a row.
@@ -160,6 +166,29 @@ WITH d AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.3 * word_chars AS kept
 FROM all_docs""".replace("{separators}", ", ".join(f"'{s}'" for s in SEPARATORS)).replace("{phrases}", "|".join(PHRASES)),
+    # texts as hexadecimal digits, so a byte is two characters
+    "op13_run_index": """
+WITH d AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), win AS (
+  SELECT doc_id, p, h[2 * p + 1:2 * p + 100] AS s
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)
+), hit AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id
+), step AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit
+), span AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM step) GROUP BY doc_id, k
+), piece AS (
+  SELECT doc_id, b AS from_byte, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), len(h) // 2) AS to_byte, h
+  FROM (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, -1, 0 FROM d) JOIN d USING (doc_id)
+), rest AS (
+  SELECT doc_id, string_agg(h[2 * from_byte + 1:2 * to_byte], '' ORDER BY from_byte) AS kept FROM piece GROUP BY doc_id
+), n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN rest USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op7_substring_dedup": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
