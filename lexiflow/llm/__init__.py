@@ -1,4 +1,4 @@
-"""Training-data operators: ten jobs over ``documents`` and ``pages``.
+"""Training-data operators: jobs over the given tables.
 
 Nothing outside this folder (but ``corpus_pipeline.py`` and the guard in
 ``__spark_entry__.py``) imports it."""

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import context_tree, language_id, run_index, toxicity
+from lexiflow.llm import context_tree, language_id, run_index, toxicity, turn_repair
 from lexiflow.llm.common import id_remainder, table
 from lexiflow.llm.decontaminate import MASKS, SPAN, leaks
 from lexiflow.llm.html_text import main_text
 from lexiflow.llm.line_quality import PHRASES, SEPARATORS, clean_lines
+from lexiflow.llm.middle import fill_in_middle
 from lexiflow.llm.packing import pack
 from lexiflow.llm.sanitize import KINDS, count_of, joined, sanitize
 from lexiflow.llm.simhash import near_duplicates
@@ -78,6 +79,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_swar_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), with_text=False).drop("output")
+
+
+def op12_path_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_index.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return out.drop("kept", "removed")
@@ -85,7 +94,7 @@ def op13_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_language_id, op5_packing, op6_html_extraction, op7_substring_dedup, op8_lm_scoring, op9_sanitisation, op10_simhash,
-                              op13_run_index)
+                              op11_swar_middle, op12_path_ranking, op13_run_index)
 }
 
 #: The seeds of operator 3 in SQL: the selected tokens of each mask in a row.
@@ -166,6 +175,24 @@ WITH d AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.3 * word_chars AS kept
 FROM all_docs""".replace("{separators}", ", ".join(f"'{s}'" for s in SEPARATORS)).replace("{phrases}", "|".join(PHRASES)),
+    "op11_swar_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), draw AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draw
+), part AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM part""",
     # texts as hexadecimal digits, so a byte is two characters
     "op13_run_index": """
 WITH d AS (
