@@ -1,8 +1,14 @@
 """Regular expressions of the tokenizer and pattern helpers.
 
-The same pattern text runs in Java regex (Spark) and RE2 (the SQL oracle):
+The plain pattern text runs in Java regex (Spark) and RE2 (the SQL oracle):
 only constructs both engines read the same way are used (Unicode classes,
 alternation tried left to right, no look-around, no back-references).
+
+Java repeats a group of variable length by recursion, so a word of thousands
+of parts (``a'a'a'...``, ``1.1.1...``) would overflow an executor's stack. Spark therefore
+runs the possessive form of each pattern, which Java repeats in a loop. It
+matches the same text: no part can give up a character that what follows it
+could take.
 """
 from __future__ import annotations
 
@@ -17,14 +23,19 @@ WORD_PART = r"_*" + LETTER_OR_DIGIT + WORD_CHAR + "*"
 URL = r"https?://\S+"
 TAG = r"[@#]" + WORD_PART
 DECIMAL = r"\p{N}+(?:[.,]\p{N}+)+"
+# The same in possessive form, for Java.
+WORD_PART_JAVA = r"_*+" + LETTER_OR_DIGIT + WORD_CHAR + "*+"
+DECIMAL_JAVA = r"\p{N}++(?:[.,]\p{N}++)++"
+NUMBER_TOKEN_JAVA = r"^\p{N}++(?:[.,]\p{N}++)*+$"
 # A token of only digits, optionally with decimal separators (removed by T7).
 NUMBER_TOKEN = r"^\p{N}+(?:[.,]\p{N}+)*$"
 URL_PREFIXES = ("http://", "https://")
 
 
-def word_pattern(split_hyphens: bool) -> str:
+def word_pattern(split_hyphens: bool, java: bool = False) -> str:
     joiners = "['’]" if split_hyphens else "['’-]"
-    return WORD_PART + "(?:" + joiners + WORD_PART + ")*"
+    part, many = (WORD_PART_JAVA, ")*+") if java else (WORD_PART, ")*")
+    return part + "(?:" + joiners + part + many
 
 
 def other_class(opts: TextOptions) -> str | None:
@@ -40,7 +51,7 @@ def other_class(opts: TextOptions) -> str | None:
     return "[" + "".join(keep) + "]"
 
 
-def token_pattern(opts: TextOptions) -> str:
+def token_pattern(opts: TextOptions, java: bool = False) -> str:
     """Alternatives in order: URL, tag (when kept), decimal number, word,
     single punctuation/symbol character (when kept).
 
@@ -49,8 +60,8 @@ def token_pattern(opts: TextOptions) -> str:
     alts = [URL]
     if not opts.remove_twitter:
         alts.append(TAG)
-    alts.append(DECIMAL)
-    alts.append(word_pattern(opts.remove_hyphens))
+    alts.append(DECIMAL_JAVA if java else DECIMAL)
+    alts.append(word_pattern(opts.remove_hyphens, java))
     other = other_class(opts)
     if other:
         alts.append(other)
@@ -62,7 +73,7 @@ def number_word(split_hyphens: bool) -> str:
     followed by a character that would extend the word (Java look-ahead;
     used only by the Spark side, see ``kept_token_pattern``)."""
     joiners = "['’]" if split_hyphens else "['’-]"
-    return r"\p{N}+(?![\p{L}\p{M}\p{N}_]|" + joiners + r"_*[\p{L}\p{N}])"
+    return r"\p{N}++(?![\p{L}\p{M}\p{N}_]|" + joiners + r"_*[\p{L}\p{N}])"
 
 
 def kept_token_pattern(opts: TextOptions) -> str:
@@ -77,10 +88,10 @@ def kept_token_pattern(opts: TextOptions) -> str:
     if not opts.remove_twitter:
         kept.append(TAG)
     if opts.remove_numbers:
-        dropped += [DECIMAL, number_word(opts.remove_hyphens)]
+        dropped += [DECIMAL_JAVA, number_word(opts.remove_hyphens)]
     else:
-        kept.append(DECIMAL)
-    kept.append(word_pattern(opts.remove_hyphens))
+        kept.append(DECIMAL_JAVA)
+    kept.append(word_pattern(opts.remove_hyphens, java=True))
     other = other_class(opts)
     if other:
         kept.append(other)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fence
-from ..functions.patterns import (NUMBER_TOKEN, URL_PREFIXES, glob_to_regex, kept_token_pattern,
+from ..functions.patterns import (NUMBER_TOKEN_JAVA, URL_PREFIXES, glob_to_regex, kept_token_pattern,
                                   token_pattern)
 from ..options import RAW, TextOptions
 
@@ -36,7 +36,7 @@ def tokens_expr(text: Column | str, opts: TextOptions = TextOptions()) -> Column
         toks = F.regexp_extract_all(text, F.lit(kept_token_pattern(opts)), 1)
         toks = F.filter(toks, lambda t: t != "")
     else:
-        toks = F.regexp_extract_all(text, F.lit(token_pattern(opts)), 0)
+        toks = F.regexp_extract_all(text, F.lit(token_pattern(opts, java=True)), 0)
     if opts.lowercase:
         toks = F.transform(toks, F.lower)
     return F.coalesce(toks, _empty())
@@ -46,12 +46,12 @@ def tokens_expr_filtered(text: Column | str, opts: TextOptions = TextOptions())
     """Reference form of ``tokens_expr``: extract all tokens, then filter the
     removed classes token by token."""
     text = F.col(text) if isinstance(text, str) else text
-    toks = F.regexp_extract_all(text, F.lit(token_pattern(opts)), 0)
+    toks = F.regexp_extract_all(text, F.lit(token_pattern(opts, java=True)), 0)
     drops = []
     if opts.remove_url:
         drops.append(lambda t: t.startswith(URL_PREFIXES[0]) | t.startswith(URL_PREFIXES[1]))
     if opts.remove_numbers:
-        drops.append(lambda t: t.rlike(NUMBER_TOKEN))
+        drops.append(lambda t: t.rlike(NUMBER_TOKEN_JAVA))
     if drops:
         def keep(t):
             cond = drops[0](t)

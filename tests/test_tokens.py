@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.operators.tokens import (clean_tokens, corpus_remove_words, dictionary_lookup,
@@ -138,3 +139,14 @@ def test_folded_pattern_equals_filtered_form(spark):
         got = df.select(tokens_expr("text", opts).alias("a"), tokens_expr_filtered("text", opts).alias("b"))
         for r in got.collect():
             assert r["a"] == r["b"], (opts, r)
+
+
+@pytest.mark.parametrize("unit, opts", [
+    ("a'", TextOptions()), ("1.", TextOptions(remove_numbers=False)), ("1.", TextOptions()), ("a-", RAW),
+    ("_a", TextOptions()), ("1a'", RAW), ("#a", TextOptions()), ("9", TextOptions())])
+def test_long_runs_do_not_overflow_the_stack(spark, unit, opts):
+    """Texts of a megabyte made of one repeated part, split as short ones are."""
+    many = 1_000_000 // len(unit)
+    df = spark.createDataFrame([(1, unit * 20 + "z"), (2, unit * many + "z")], "doc_id long, text string")
+    short, long = (r.tokens for r in tokenize(df, opts).orderBy("doc_id").collect())
+    assert "".join(long) == "".join(short).replace(unit * 20, unit * many)
