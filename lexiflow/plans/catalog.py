@@ -1060,3 +1060,6 @@ def q_explore_chain(spark, sf):
 def q_table_view(spark, sf):
     ft = A.frequent_terms(load_dfm(spark, sf), limit=None)
     return table_view(ft, "nb_docs", page=2, size=20, search="th")
+
+
+from . import catalog_networks  # noqa: E402,F401  (registers its queries)
