@@ -1,20 +1,28 @@
 """Registered queries of collocations, compounding, the indexed dictionary,
-document similarity and term networks, each with DuckDB SQL of its own."""
+document similarity, term networks, the stored index, deep pages and stems by
+rules, with DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import collocations as C
 from ..operators import doc_similarity as D
 from ..operators import networks as N
+from ..operators import search as Q
 from ..operators import stats as A
 from ..operators.dfm import dfm
 from ..operators.dictionary_index import dictionary_lookup_indexed
+from ..operators.pages import store_pages
+from ..operators.stem_rules import stem_features_by_rules
 from ..operators.tokens import clean_tokens
 from ..options import TextOptions
+from ..session import storage_folder
+from ..sources.token_index import build_index
 from . import sql_text as S
-from .catalog import (DEFAULT_SQL, DICT_GLOB, DICT_MULTI, DICT_REGEX, SQL, _sql, _toks_cte, load_corpus, load_dfm,
-                      register)
+from .catalog import (DEFAULT_SQL, DICT_GLOB, DICT_MULTI, DICT_REGEX, Q_MAIN, Q_PAGE, SEARCH_SQL, SQL, _sql, _toks_cte,
+                      load_corpus, load_dfm, register)
 
 # Query parameters of the registered queries.
 COMPOUNDS = ["of the", "in the", "the of the", "de la", "und die", "in"]
@@ -258,3 +266,55 @@ def q_term_associations(spark, sf):
 @register("term_associations_loglik", _association_sql(LOGLIK))
 def q_term_associations_loglik(spark, sf):
     return N.term_associations(load_dfm(spark, sf, materialize=True), 10, min_docs=20, method="loglik")
+
+
+# ------------------------------------------------ stored index, deep pages
+
+def _index(spark, sf):
+    """The whole corpus, indexed in a new folder."""
+    return build_index(_tokens(spark, sf), f"{storage_folder(spark)}/{uuid.uuid4().hex}")
+
+
+@register("indexed_search_by_group", SQL["search_by_group"])
+def q_indexed_search_by_group(spark, sf):
+    return Q.search_by_group(_index(spark, sf).search(Q_MAIN), "lang")
+
+
+@register("indexed_kwic", SQL["kwic_clean_tokens"])
+def q_indexed_kwic(spark, sf):
+    return _index(spark, sf).kwic(["que", "und"])
+
+
+@register("indexed_cooccurring_docs", "SELECT * FROM (" + SQL["cooccurring_docs"] + ") WHERE nb_docs_common > 0")
+def q_indexed_cooccurring_docs(spark, sf):
+    return _index(spark, sf).cooccurring_docs("der")
+
+
+DEEP_PAGE, PAGE_ROWS = 900, 20
+
+
+@register("frequent_terms_deep_page", _sql(*DEFAULT_SQL, body=S.freq_select(limit=PAGE_ROWS)
+                                           + f" OFFSET {(DEEP_PAGE - 1) * PAGE_ROWS}"))
+def q_frequent_terms_deep_page(spark, sf):
+    terms = A.frequent_terms(load_dfm(spark, sf))
+    return store_pages(terms, F.desc("nb_terms"), "term").page(DEEP_PAGE, PAGE_ROWS)
+
+
+@register("search_documents_deep_page", _sql(*SEARCH_SQL, S.hits_cte(Q_PAGE), body=(
+    "SELECT doc_id, lang, n FROM hits WHERE n > 0 ORDER BY doc_id LIMIT 10 OFFSET 30")))
+def q_search_documents_deep_page(spark, sf):
+    hits = Q.search(load_dfm(spark, sf), Q_PAGE).where("n > 0").select("doc_id", "lang", "n")
+    return store_pages(hits, "doc_id").page(4, 10)
+
+
+# ----------------------------------------------------------- stems by rules
+
+def _stems_by_rules(language: str):
+    @register(f"stem_rules_{language}")
+    def q(spark, sf):
+        return A.frequent_terms(stem_features_by_rules(load_dfm(spark, sf, materialize=True), language))
+    return q
+
+
+for _language in ("english", "french", "german", "spanish"):
+    _stems_by_rules(_language)
