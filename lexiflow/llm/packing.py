@@ -53,57 +53,61 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def word_encoder(path: str, cache_words: int = 400_000, batch: int = 2000):
-    """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids.
+class _Words(dict):
+    """Ids (little-endian unsigned 32-bit) of words, found when first asked for.
 
     The tokenizer replaces white space by one space and no token spans it, so
     a text's ids are those of its words. It also cuts a word between a letter
-    or digit and punctuation, and ignores case, so closing punctuation is
-    looked up apart. Words seen before are not encoded again, and a word of Latin
-    letters, which the tokenizer leaves whole, goes straight to its BPE model."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(path)
-    model, table = tok.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
-    known: dict[bytes, bytes] = {}
-    parts: dict[bytes, bytes] = {}
-
-    def split(word: bytes) -> tuple[bytes, ...]:
+    or digit and punctuation, and ignores case: closing punctuation, the word
+    before it and its lower-case form are words of their own here. A word of
+    Latin letters, which the tokenizer leaves whole, goes straight to its BPE model."""
+
+    def __init__(self, path: str, limit: int):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self._find(word)
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _find(self, word: bytes) -> bytes:
         if b"<|" in word:  # may be a special token, which is matched as written
-            return (word,)
+            return self._encoded(word)
         core = word.rstrip(TAIL)
-        if core and len(core) < len(word) and core.decode()[-1].isalnum():
-            return core.lower(), word[len(core):]
-        return (word.lower(),)
+        if core and len(core) < len(word):
+            last = core.decode()[-1]
+            # a capital I with a dot becomes a letter and a mark, which joins the punctuation
+            if last.isalnum() and last != "\u0130":
+                return self[core.lower()] + self[word[len(core):]]
+        low = word.lower()
+        if low != word:
+            return self[low]
+        if word.isalpha():  # ASCII letters in lower case
+            spelled = word.decode()
+        else:
+            text = word.decode()
+            if not (text.isalpha() and max(text) < "\u0250" and "\u0130" not in text):
+                return self._encoded(word)
+            spelled = text.lower().encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _encoded(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+
+def word_encoder(path: str, cache_words: int = 600_000):
+    """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids."""
+    known = _Words(path, cache_words).__getitem__
 
     def encode(text: str) -> bytes:
-        words = text.encode().split()
-        new = [w for w in set(words) if w not in known]
-        if new and len(known) > cache_words:
-            known.clear()
-            new = list(set(words))
-        if new:
-            if len(parts) > cache_words:
-                parts.clear()
-            cut = [split(w) for w in new]
-            fresh = []
-            for p in {p for c in cut for p in c if p not in parts}:
-                if p.isalpha():  # ASCII letters in lower case
-                    parts[p] = array("I", [t.id for t in model.tokenize(p.decode())]).tobytes()
-                    continue
-                word = p.decode()
-                if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word and b"<|" not in p:
-                    spelled = word.lower().encode().decode("latin-1").translate(table)
-                    parts[p] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
-                else:
-                    fresh.append(p)
-            for i in range(0, len(fresh), batch):
-                some = fresh[i:i + batch]
-                for p, e in zip(some, tok.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                    parts[p] = array("I", e.ids).tobytes()
-            for w, c in zip(new, cut):
-                known[w] = parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]]
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(known, text.encode().split()))
 
     return encode
 
