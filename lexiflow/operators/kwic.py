@@ -27,9 +27,9 @@ def _hit_positions(tok: Column, terms: Sequence[str] | None, phrase: Sequence[st
         k = len(words)
 
         def pred(i):
-            c = F.lower(F.element_at(tok, i)) == words[0]
+            c = matches_words(F.element_at(tok, i), words[:1])
             for j, w in enumerate(words[1:], start=1):
-                c = c & (F.lower(F.element_at(tok, i + j)) == w)
+                c = c & matches_words(F.element_at(tok, i + j), [w])
             return c
         last = n - k + 1
     else:
@@ -50,8 +50,8 @@ def kwic(tokens_df: DataFrame, terms: Sequence[str] | None = None,
          phrase: Sequence[str] | str | None = None, window: int = KWIC_WINDOW,
          tokens_col: str = "tokens", with_size: bool = False) -> DataFrame:
     """``doc_id, from, to, pre, keyword, post`` (K1, K2): case-insensitive
-    match of single words (``terms``, with ``*`` and ``?`` as globs) or of a whole ``phrase``; ``from``/``to``
-    are 1-based token positions, ``pre``/``post`` up to ``window`` tokens."""
+    match of single words (``terms``) or of a whole ``phrase``, both with ``*`` and ``?``
+    as globs; ``from``/``to`` are 1-based token positions, ``pre``/``post`` up to ``window`` tokens."""
     if isinstance(phrase, str):
         phrase = phrase.split()
     tok = F.col(tokens_col)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import collocations as C
 from ..operators import doc_similarity as D
+from ..operators import kwic as K
 from ..operators import networks as N
 from ..operators import search as Q
 from ..operators import stats as A
@@ -16,13 +17,17 @@ from ..operators.dfm import dfm
 from ..operators.dictionary_index import dictionary_lookup_indexed
 from ..operators.pages import store_pages
 from ..operators.stem_rules import stem_features_by_rules
+from ..operators.svd import truncated_svd
+from ..operators.table_view import table_filter
 from ..operators.tokens import clean_tokens
+from ..operators.topics import topic_model
 from ..options import TextOptions
 from ..session import storage_folder
+from ..sources.profile import usable_docvars
 from ..sources.token_index import build_index
 from . import sql_text as S
-from .catalog import (DEFAULT_SQL, DICT_GLOB, DICT_MULTI, DICT_REGEX, Q_MAIN, Q_PAGE, SEARCH_SQL, SQL, _sql, _toks_cte,
-                      load_corpus, load_dfm, register)
+from .catalog import (DEFAULT_SQL, DICT_GLOB, DICT_MULTI, DICT_REGEX, KW_COLS, PROFILE_COLS, Q_MAIN, Q_PAGE, RAW_TOK,
+                      SEARCH_SQL, SQL, _raw_tokens, _sql, _toks_cte, load_corpus, load_dfm, register)
 
 # Query parameters of the registered queries.
 COMPOUNDS = ["of the", "in the", "the of the", "de la", "und die", "in"]
@@ -318,3 +323,46 @@ def _stems_by_rules(language: str):
 
 for _language in ("english", "french", "german", "spanish"):
     _stems_by_rules(_language)
+
+
+# ------------------------------------------------- topics, singular values
+
+@register("topic_terms")
+def q_topic_terms(spark, sf):
+    """Top terms of five topics (no SQL; tested on planted topics)."""
+    return topic_model(load_dfm(spark, sf, materialize=True), 5, rounds=5).topic_terms(10)
+
+
+@register("svd_values")
+def q_svd_values(spark, sf):
+    """The five largest singular values of the counts (tested against numpy)."""
+    values = truncated_svd(load_dfm(spark, sf, materialize=True), 5, iterations=4).values
+    return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(values, start=1)], "component long, value double")
+
+
+# ------------------------------------------------------- phrases with globs
+
+@register("kwic_phrase_glob", _sql(RAW_TOK, body=(
+    f"SELECT {KW_COLS} FROM (SELECT doc_id, CAST(i AS BIGINT) AS \"from\", CAST(i + 1 AS BIGINT) AS \"to\", "
+    "array_to_string(tokens[greatest(1, i - 7):i - 1], ' ') AS pre, array_to_string(tokens[i:i + 1], ' ') AS keyword, "
+    "array_to_string(tokens[i + 2:i + 8], ' ') AS post FROM (SELECT doc_id, tokens, unnest(list_filter(range(1, len(tokens)), "
+    "lambda i: starts_with(lower(tokens[i]), 'th') AND length(tokens[i + 1]) = 3 AND ends_with(lower(tokens[i + 1]), 'e'))) "
+    "AS i FROM rt))")))
+def q_kwic_phrase_glob(spark, sf):
+    return K.kwic(_raw_tokens(spark, sf), phrase="th* ??e")
+
+
+# --------------------------------------- column filters, strict docvar profile
+
+@register("table_column_filters", _sql(*DEFAULT_SQL, "ft AS (" + S.freq_select() + ")", body=(
+    "SELECT * FROM ft WHERE contains(lower(term), 'th') AND nb_docs BETWEEN 2 AND 50 AND nb_terms IN (3, 4, 5, 8, 13)")))
+def q_table_column_filters(spark, sf):
+    return table_filter(A.frequent_terms(load_dfm(spark, sf)),
+                        filters={"term": "TH", "nb_docs": (2, 50), "nb_terms": [3, 4, 5, 8, 13]})
+
+
+@register("docvar_profile_by_levels", "SELECT name, kind, n_distinct, n_distinct > 1 AND n_distinct < 100 AS usable FROM ("
+          + SQL["docvar_profile"] + ")")
+def q_docvar_profile_by_levels(spark, sf):
+    """Only the number of levels decides, whatever the type."""
+    return usable_docvars(load_corpus(spark, sf, labels=True), PROFILE_COLS, types_always=()).drop("col_order")

@@ -1,16 +1,17 @@
 """Corpus sources (S1-S5, S8-S11) and document-level joins.
 
-A corpus is a DataFrame ``(doc_id, text, <docvars…>)``; nothing here runs a
-job. Formats are Spark's own readers.
+A corpus is a DataFrame ``(doc_id, text, <docvars…>)``; only reading text
+lines runs a job (their ids need the rows of earlier splits). Formats are
+Spark's own readers.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialize, spread
 
 
 def corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -32,16 +33,32 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", id_col: st
                 text_col: str = "text", docvars: Sequence[str] | None = None,
                 **options) -> DataFrame:
     """Load a corpus with Spark's readers (parquet, json, csv, orc, text).
-    For ``text`` each file line is a document numbered in file order."""
+    For ``text`` each file line is a document (see ``numbered_lines``)."""
     if fmt == "text":
-        raw = spark.read.options(**options).text(path)
-        raw = raw.select(F.monotonically_increasing_id().alias(id_col),
-                         F.col("value").alias(text_col))
-        return corpus(raw, id_col, text_col, [])
+        return corpus(numbered_lines(spark, path, id_col, text_col, **options), id_col, text_col, [])
     raw = spark.read.format(fmt).options(**options).load(path)
     return corpus(raw, id_col, text_col, docvars)
 
 
+def numbered_lines(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
+                   **options) -> DataFrame:
+    """Lines of text files, numbered from 0 by file path and place in the file;
+    the numbers do not depend on how the files are split.
+
+    Pass one stores the lines with their split's file and offset, which put
+    the splits in order; pass two counts the rows of each split. The
+    rows before a split (a running sum over splits, not over rows) plus a line's place in its split are its number."""
+    lines = spark.read.options(**options).text(path).select(
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"),
+        F.monotonically_increasing_id().alias("__row"), F.col("value").alias(text_col))
+    lines = materialize(lines)
+    splits = lines.groupBy("__file", "__at").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    order = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0)))
+    numbered = lines.join(splits, ["__file", "__at"])
+    return numbered.select((F.col("__before") + F.col("__row") - F.col("__first")).alias(id_col), text_col)
+
+
 def corpus_from_texts(spark: SparkSession, texts: Sequence[str], start: int = 1) -> DataFrame:
     """Small corpus from a list of strings (S4), ids from ``start``."""
     rows = [(i + start, t) for i, t in enumerate(texts)]

@@ -81,3 +81,24 @@ def test_full_domain_filters_are_skipped(spark):
     assert ids(filter_documents(df, {"score": (10, 20)}, dom)) == [1, 2]
     assert ids(filter_documents(df, {"d": (dt.date(2024, 1, 1), dt.date(2024, 4, 1))}, dom)) == [1, 2, 3, 4]
     assert ids(filter_documents(df, {"lang": ["a", "b", "NA"]}, dom)) == [1, 2, 3, 4]
+
+
+def test_line_ids_do_not_depend_on_splits(spark, tmp_path):
+    from lexiflow.sources.corpus import read_corpus
+    lines = []
+    for name, n in (("b.txt", 40), ("a.txt", 300), ("c.txt", 0), ("d.txt", 1)):
+        own = [f"{name} line {i} " + "x" * (i % 17) for i in range(n)]
+        (tmp_path / name).write_text("".join(line + "\n" for line in own))
+        lines.append((name, own))
+    want = [(i, t) for i, t in enumerate(t for _, own in sorted(lines) for t in own)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("64b", "1000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0b" if size != "128m" else opened)
+            got = read_corpus(spark, str(tmp_path), "text")
+            assert sorted(rows(got, "doc_id", "text")) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
