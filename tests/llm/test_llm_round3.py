@@ -252,3 +252,35 @@ def bwt(text):
     closed = text + b"\0"
     order = sorted(range(len(closed)), key=lambda i: closed[i:])
     return bytes(closed[i - 1] for i in order)
+
+
+# ---------------------------------------------- packing and personal data
+
+def test_word_ids_equal_the_tokenizer():
+    """Words one by one against whole texts, with letters whose lower case is
+    longer, marks, special tokens, and a cache that overflows."""
+    import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lexiflow.llm.packing import word_encoder
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encode = Tokenizer.from_file(path), word_encoder(path, cache_words=500)
+    rnd = random.Random(3)
+    texts = ["kitabİ.", "İ!", "ABCİ, x", "ΟΔΟΣ. Σ", "it's. don't!", "a<|endoftext|>.", "é.", "12.5%, x;",
+             "ﬁ. ß! ẞ.", "", "O'Neil's.", "漢字. x"]
+    texts += ["".join(rnd.choices("aAbİıéÉ́ß.,!?;:%'s tT12²Σς<|>-_ \n漢Я", k=rnd.randint(0, 14))) for _ in range(3000)]
+    for text in texts:
+        assert encode(text) == array.array("I", whole.encode(text, add_special_tokens=False).ids).tobytes(), text
+
+
+@pytest.mark.parametrize("text", ["a@b" + ".c" * 500_000, "a" * 500_000 + "@b.c"])
+def test_long_runs_of_address_like_text(spark, text):
+    from lexiflow.llm.sanitize import sanitize
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, "jo@x.example.com", "en", "a", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.base for r in sanitize(docs, with_text=False).collect()}
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    assert [(s["start"], s["end"]) for s in got[1] if s["kind"] == "email"] == want
+    assert len(got[2]) == 1
