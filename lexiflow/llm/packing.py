@@ -43,6 +43,8 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 TAIL = b".,!?;:%#$&*|"
+#: Tokens of a batch of pieces, which bounds a task's memory.
+PIECE_TOKENS = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -102,7 +104,7 @@ class _Words(dict):
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
 
-def word_encoder(path: str, cache_words: int = 600_000):
+def word_encoder(path: str, cache_words: int = 300_000):
     """``encode(text) -> bytes`` of little-endian unsigned 32-bit ids."""
     known = _Words(path, cache_words).__getitem__
 
@@ -290,11 +292,16 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, mix
     placed = rows.join(earlier, ["part", "queue"])
     args = (totals, weights, size, block_windows, quantum)
 
+    def batch_of(columns):
+        types = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int32())]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
     def cut(batches):
         plan = Schedule(*args)
         hints: dict[int, int] = {}
         for b in batches:
-            out = [[] for _ in range(9)]
+            out, held = [[] for _ in range(9)], 0
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for i in range(b.num_rows):
                 queue, n = col["queue"][i].as_py(), col["n"][i].as_py()
@@ -307,8 +314,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, mix
                     ids = np.frombuffer(own, "<u4").astype(np.int32) if with_ids else None
                     for c, v in zip(out, (doc, start, length, zlib.crc32(own), n, seq, offset, source, ids)):
                         c.append(v)
-            types = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int32())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+                    held += length
+                    if held >= PIECE_TOKENS:
+                        yield batch_of(out)
+                        out, held = [[] for _ in range(9)], 0
+            yield batch_of(out)
 
     return placed.select("doc_id", "source", "queue", "n", "before", "earlier", "ids").mapInArrow(cut, PIECES)
