@@ -234,6 +234,15 @@ def test_run_index_on_odd_rows(spark, odd, odd_rows, none):
     assert run_index.remove_repeats(none).collect() == []
 
 
+def test_run_index_with_the_largest_ids(spark):
+    """The largest id is an id like any other."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([2**63 - 1, 2**63 - 2, 5, -1, 1 - 2**63]), t) for _, t in some_texts(80, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    options = dict(length=10, anchor=4, block_bytes=300, bucket_bytes=200)
+    same(removed(docs, **options), brute_bytes(rows, 10))
+
+
 def test_matching_statistics():
     rnd = random.Random(2)
     for _ in range(200):
