@@ -195,7 +195,8 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
         else:
             agg = (F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
                    if scheme == "relfreq" else F.array_max(F.transform("counts", lambda c: c["n"])))
-            rows = d.rows.withColumn("__tot", agg)
+            # fenced: else it is copied into the lambda and folded again for every term
+            rows = d.rows.withColumn("__tot", fence(agg))
             val = lambda c: c["n"] / F.col("__tot")
         rows = rows.withColumn("counts", F.transform(
             "counts", lambda c: F.struct(c["term"].alias("term"), val(c).cast("double").alias("n"))))

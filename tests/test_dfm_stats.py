@@ -33,6 +33,13 @@ def test_long_and_wide(four_docs):
     assert lw == w
 
 
+def test_totals_of_a_document_are_folded_once(four_docs):
+    """Copied into the lambda, the total would be folded again for every term."""
+    for scheme in ("relfreq", "relmaxfreq"):
+        plan = M.weight(d4(four_docs), scheme).long._jdf.queryExecution().optimizedPlan().toString()
+        assert "__tot" in plan
+
+
 def test_weights(four_docs):
     d = d4(four_docs)
     rel = M.weight(d, "relfreq").long.groupBy("doc_id").agg(F.sum("n").alias("s"))
