@@ -3,7 +3,7 @@ import random
 import pytest
 from core_helpers import rows
 
-from lexiflow.operators.dictionary_index import dictionary_lookup_indexed, dictionary_table
+from lexiflow.operators.dictionary_index import dictionary_lookup_indexed, dictionary_table, lookup_matches
 from lexiflow.operators.tokens import dictionary_lookup
 
 DICTIONARIES = {
@@ -45,6 +45,31 @@ def test_ten_thousand_values(spark, tokens):
     assert sorted(rows(dictionary_lookup_indexed(tokens, large, "fixed")), key=repr) == want
 
 
+def test_values_of_one_beginning_share_its_rows(spark):
+    """200 documents of 200 times "the", and 4,000 values "the x...": 40,000
+    positions; matching each with all 4,000 values made 160 million rows."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "array_repeat('the', 200) AS tokens")
+    values = [("k", [f"the x{i}" for i in range(4000)]), ("both", ["the the"])]
+    matches = lookup_matches(docs, dictionary_table(spark, values), "fixed")
+    rows_made = {"n": 0}
+
+    def count(node):
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined() and "Join" in node.nodeName():
+            rows_made["n"] = max(rows_made["n"], metric.get().value())
+        children = node.children()
+        for i in range(children.size()):
+            count(children.apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            count(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            count(node.plan())
+
+    assert len(matches.collect()) == 200 * 199
+    count(matches._jdf.queryExecution().executedPlan())
+    assert 0 < rows_made["n"] <= 40_000
+
+
 def test_unknown_valuetype(tokens):
     with pytest.raises(ValueError):
         dictionary_lookup_indexed(tokens, [("a", ["b"])], "soundex")
