@@ -2,12 +2,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from lexiflow.llm import middle, run_index, turn_repair
+from lexiflow.llm import context_tree, middle, run_index, turn_repair
 from lexiflow.llm.catalog import op12_path_ranking
 
 
@@ -293,3 +294,13 @@ def test_long_runs_of_address_like_text(spark, text):
     want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
     assert [(s["start"], s["end"]) for s in got[1] if s["kind"] == "email"] == want
     assert len(got[2]) == 1
+
+
+def test_a_block_of_the_language_model_is_small():
+    """Two tasks share an executor's memory: coding a whole block takes little of it."""
+    data = np.full(context_tree.BLOCK, 97, np.uint8)
+    tracemalloc.start()
+    context_tree.coded(data, np.array([0, len(data)]), np.ones(256, np.int32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
