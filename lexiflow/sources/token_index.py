@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import fence
 from ..functions.query import parse, query_terms
 from ..operators import kwic as K
 from ..operators import search as Q
@@ -37,6 +38,23 @@ def _place(value: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
 
 
+def _row_postings(rows: DataFrame) -> DataFrame:
+    """``doc_id, term, positions, block``: the positions of every term of a row,
+    gathered inside the row, so tokens are never shuffled one by one."""
+    spots = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("at"))))
+    out = rows.select("doc_id", "block", fence(spots).alias("spots"))
+    out = out.select("doc_id", "block", fence(F.col("spots.term")).alias("terms"), fence(F.col("spots.at")).alias("places"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | ~F.element_at("terms", i).eqNullSafe(
+        F.try_element_at("terms", F.greatest(i - 1, F.lit(1)))))
+    out = out.withColumn("starts", fence(starts))
+
+    def posting(start, i):
+        after = F.coalesce(F.try_element_at("starts", i + 2), F.size("terms") + 1)
+        return F.struct(F.element_at("terms", start).alias("term"), F.slice("places", start, after - start).alias("positions"))
+    out = out.withColumn("postings", fence(F.transform("starts", posting)))
+    return out.select("doc_id", "block", F.inline("postings")).select("doc_id", "block", "term", "positions")
+
+
 def build_index(tokens_df: DataFrame, path: str, buckets: int | None = None, blocks: int | None = None,
                 tokens_col: str = "tokens", id_col: str = "doc_id") -> "TokenIndex":
     """Write the index of a token table to ``path`` (which must be new) and
@@ -51,12 +69,8 @@ def build_index(tokens_df: DataFrame, path: str, buckets: int | None = None, blo
     placed.hint("rebalance", "block").write.partitionBy("block").parquet(f"{path}/documents")
     spark = tokens_df.sparkSession
     stored = spark.read.schema(placed.schema).parquet(f"{path}/documents")
-    # positions of a document's terms are gathered inside its row
-    spots = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.struct(
-        F.element_at("tokens", i).alias("term"), i.alias("at")))
-    rows = stored.where(F.size("tokens") > 0).select("doc_id", "block", F.explode(spots).alias("s"))
-    postings = rows.groupBy("doc_id", "block", F.col("s.term").alias("term")).agg(
-        F.sort_array(F.collect_list("s.at")).alias("positions")).withColumn("bucket", _place(F.col("term"), buckets))
+    rows = stored.where(F.size("tokens") > 0).select("doc_id", "block", "tokens")
+    postings = _row_postings(rows).withColumn("bucket", _place(F.col("term"), buckets))
     postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id") \
         .write.partitionBy("bucket").parquet(f"{path}/postings")
     layout = (int(buckets), int(blocks), placed.schema.json(), postings.schema.json())

@@ -96,3 +96,13 @@ def test_a_deep_page_reads_one_partition(spark):
 def test_pages_of_nothing(spark):
     stored = store_pages(spark.range(0), "id")
     assert stored.total == 0 and stored.page(3).collect() == []
+
+
+def test_postings_are_gathered_in_the_row(spark):
+    from lexiflow.sources.token_index import _row_postings
+    rows_ = spark.createDataFrame([(1, 0, ["b", "a", "b", "b"]), (2, 1, ["c"]), (3, 1, ["a", None, "a"])],
+                                  "doc_id long, block int, tokens array<string>")
+    out = _row_postings(rows_)
+    assert sorted(rows(out, "doc_id", "block", "term", "positions"), key=repr) == [
+        (1, 0, "a", [2]), (1, 0, "b", [1, 3, 4]), (2, 1, "c", [1]), (3, 1, "a", [1, 3]), (3, 1, None, [2])]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
