@@ -22,6 +22,8 @@ from ..functions.columns import fence
 
 
 COUNT_TYPE = "array<struct<term:string,n:bigint>>"
+#: Column of a trimmed long table: rows of its term, so that tf-idf needs no second join.
+TERM_ROWS = "__df"
 
 
 def _run_ends(srt: Column) -> Column:
@@ -70,7 +72,7 @@ class Dfm:
         """Long form ``(id, term, n)``, n > 0."""
         if self.rows is not None:
             return self.rows.select(self.id_col, F.inline("counts"))
-        return self.long_df
+        return self.long_df.drop(TERM_ROWS)
 
     def long_with(self, cols: Sequence[str]) -> DataFrame:
         """Long form with document columns attached; for a nested dfm these
@@ -80,7 +82,7 @@ class Dfm:
             return self.rows.select(self.id_col, *cols, F.inline("counts"))
         # AQE broadcasts the documents by their measured size (a grouped dfm
         # has few), and splits a skewed partition otherwise
-        return self.long_df.join(self.docs.select(self.id_col, *cols), self.id_col)
+        return self.long.join(self.docs.select(self.id_col, *cols), self.id_col)
 
     @property
     def nested(self) -> bool:
@@ -161,12 +163,12 @@ def trim_features(d: Dfm, min_termfreq: int | None) -> Dfm:
     materialized dfm."""
     if not min_termfreq or min_termfreq <= 0:
         return d
-    kept = (d.long.groupBy("term").agg(F.sum("n").alias("tot"))
-            .filter(F.col("tot") >= min_termfreq).select("term"))
+    kept = (d.long.groupBy("term").agg(F.sum("n").alias("tot"), F.count(F.lit(1)).alias(TERM_ROWS))
+            .filter(F.col("tot") >= min_termfreq).select("term", TERM_ROWS))
     # AQE measures the kept-term table at run time and broadcasts it when it
     # is small (spark.sql.adaptive.autoBroadcastJoinThreshold); a count of
     # it here would cost one more pass over the dfm
-    long_df = d.long.join(kept, "term", "left_semi").select(d.id_col, "term", "n")
+    long_df = d.long.join(kept, "term").select(d.id_col, "term", "n", TERM_ROWS)
     return Dfm(docs=d.docs, long_df=long_df, id_col=d.id_col, value_type=d.value_type)
 
 
@@ -213,10 +215,13 @@ def weight(d: Dfm, scheme: str = "count") -> Dfm:
         val = 1 + F.log10("n")
     elif scheme == "tfidf":
         ndoc = d.docs.agg(F.count(F.lit(1))).scalar()  # one value, no join
-        dfreq = long_df.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
-        # broadcast chosen by AQE from the measured size of the term table
-        long_df = long_df.join(dfreq, "term")
-        val = F.col("n") * F.log10(ndoc / F.col("__df"))
+        if d.long_df is not None and TERM_ROWS in d.long_df.columns:
+            long_df = d.long_df  # counted when it was trimmed
+        else:
+            dfreq = long_df.groupBy("term").agg(F.count(F.lit(1)).alias(TERM_ROWS))
+            # broadcast chosen by AQE from the measured size of the term table
+            long_df = long_df.join(dfreq, "term")
+        val = F.col("n") * F.log10(ndoc / F.col(TERM_ROWS))
     else:
         raise ValueError(f"unknown weight scheme {scheme!r}")
     long_df = long_df.select(idc, "term", val.cast("double").alias("n"))

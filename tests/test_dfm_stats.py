@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from core_helpers import rows
@@ -78,3 +79,14 @@ def test_wordcloud_and_comparison(four_docs):
     assert wc[0] == ("is", 4, 1.0, 1) and wc[1] == ("this", 3, 0.75, 2)
     cmp = A.comparison_terms(d, "grp", 3).collect()
     assert len(cmp) == 3 and cmp[0]["deviation"] >= cmp[-1]["deviation"]
+
+
+def test_tfidf_of_a_trimmed_dfm_joins_no_second_time(spark):
+    docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "c", "c"]), (3, ["c"])], "doc_id long, tokens array<string>")
+    trimmed = M.trim_features(M.dfm(docs), 2).materialize()
+    assert trimmed.long.columns == ["doc_id", "term", "n"]
+    out = M.weight(trimmed, "tfidf").long
+    idf = 0.17609125905568124  # log10(3 / 2)
+    got = {(r.doc_id, r.term): r.n for r in out.collect()}
+    assert got == pytest.approx({(1, "a"): 2 * idf, (2, "a"): idf, (2, "c"): 2 * idf, (3, "c"): idf})
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
