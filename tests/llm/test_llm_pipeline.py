@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 def test_registry():
     import __spark_entry__ as E
     names = [n for n in E.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in E.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in E.queries()
     assert [n for n, _ in cp.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "pii", "packing"]
 
 
