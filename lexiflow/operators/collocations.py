@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fence
 from ..session import materialize
-from .dfm import counted
+from .counting import expression_places, filter_of, gram_part_totals
 from .spans import chosen_marks, length_digit, merge_marked, sparse_lengths
-from .tokens import ngrams_expr
 
 #: Words of an expression are joined by one space; a token holds no space.
 WORD_SEP = " "
@@ -42,32 +41,33 @@ def collocations(tokens_df: DataFrame, sizes: Sequence[int] = (2,), min_count: i
     ``proper_nouns`` keeps n-grams whose words all begin with an upper-case
     letter (use tokens whose case is kept); the tables still count all.
 
-    Counts per document are made in the row, so the shuffle carries one row
-    per n-gram and task. The marginals are aggregates of the n-gram counts,
-    joined back by AQE's measured size."""
+    A task counts the n-grams of a piece of documents, and with them how many begin and end with
+    each of their parts; one shuffle adds up both. What begins or ends an n-gram found
+    ``min_count`` times is found as often, so the rare rest is dropped before anything is
+    joined."""
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 2:
         raise ValueError("n-gram sizes must be 2 or more")
-    grams = tokens_df.select(id_col, ngrams_expr(tokens_col, sizes, WORD_SEP).alias("grams"))
-    counts = counted(grams.select(id_col, fence(F.col("grams")).alias("grams")), "grams", "counts")
-    table = counts.select(F.inline("counts")).groupBy("term").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("nb_docs"))
+    table = gram_part_totals(tokens_df, sizes, WORD_SEP, tokens_col)
+    often = F.greatest("n", *[f"{side}{k}" for k in sizes for side in "lr"]) >= min_count
+    table = materialize(table.where(F.col("term").isNull() | often))
+    totals = {r["size"]: float(r["n"]) for r in table.where("term is null").collect()}  # a row per size
     words = F.split("term", WORD_SEP)
-    table = materialize(table.select("term", words.alias("words"), F.size(words).alias("size"), "n", "nb_docs"))
     parts = []
     for size in sizes:
-        own = table.where(F.col("size") == size)
-        total = own.agg(F.sum("n").cast("double")).scalar()
-        kept = own.where(F.col("n") >= min_count)
+        total = F.lit(totals.get(size, 0.0))
+        kept = table.where((F.col("size") == size) & (F.col("n") >= min_count) & F.col("term").isNotNull()) \
+            .select("term", words.alias("words"), "size", "n", "nb_docs")
         if proper_nouns:
             kept = kept.where(F.forall("words", lambda w: w.rlike(NAME_WORD)))
         joints = []
         for cut in range(1, size):
             left = F.array_join(F.slice("words", 1, cut), WORD_SEP)
             right = F.array_join(F.slice("words", cut + 1, size - cut), WORD_SEP)
-            for side, part in (("left", left), ("right", right)):
-                name = f"{side}{cut}"
-                marginal = own.groupBy(part.alias(name)).agg(F.sum("n").cast("double").alias(f"n_{name}"))
+            for side, part, length in (("left", left, cut), ("right", right, size - cut)):
+                name, count = f"{side}{cut}", f"{side[0]}{size}"
+                marginal = table.where((F.col("size") == length) & (F.col(count) > 0)).select(
+                    F.col("term").alias(name), F.col(count).cast("double").alias(f"n_{name}"))
                 kept = kept.withColumn(name, part).join(marginal, name).drop(name)
             joints.append(_joint(F.col("n").cast("double"), F.col(f"n_left{cut}"), F.col(f"n_right{cut}"), total))
         weakest = F.array_min(F.array(*joints))
@@ -131,8 +131,8 @@ def compound_tokens(tokens_df: DataFrame, expressions: DataFrame | Iterable, sep
     ``expressions`` is a list (strings of words, or lists of words) or a
     DataFrame with the column ``expression``, as ``collocations`` gives. Up to
     ``LITERAL_EXPRESSIONS`` are tested by hash in the row, without a shuffle. A larger
-    table is joined to the n-grams of all positions (AQE broadcasts it if its
-    measured size allows), and the matches go back to their documents; ids
+    table is joined to the n-grams of those positions that a filter of fixed size lets pass (AQE
+    broadcasts it if its measured size allows), and the matches go back to their documents; ids
     must be unique then. ``longest`` (words of the longest expression) saves
     looking it up."""
     if not isinstance(expressions, DataFrame):
@@ -155,12 +155,8 @@ def compound_tokens(tokens_df: DataFrame, expressions: DataFrame | Iterable, sep
 def _joined(tokens_df: DataFrame, known: DataFrame, longest: int, sep: str, tokens_col: str, id_col: str) -> DataFrame:
     tok = F.col(tokens_col)
     n = F.size(tok)
-    places = tokens_df.where(n >= 2).select(F.col(id_col).alias("__id"), F.posexplode(
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.slice(tok, i, longest))).alias("p", "words"))
-    grams = places.select("__id", (F.col("p") + 1).alias("pos"), F.explode(F.transform(
-        F.sequence(F.lit(2), F.size("words")), lambda k: F.struct(
-            k.alias("len"), F.array_join(F.slice("words", 1, k), WORD_SEP).alias("expression")))).alias("g"))
-    hits = grams.select("__id", "pos", F.col("g.len").alias("len"), F.col("g.expression").alias("expression")) \
+    bits = filter_of(known.select(F.split("expression", WORD_SEP).alias("words")), "words")
+    hits = expression_places(tokens_df, bits, longest, WORD_SEP, tokens_col, id_col) \
         .join(known, "expression", "left_semi").groupBy("__id", "pos").agg(F.max("len").alias("len"))
     found = hits.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("__matches"))
     out = tokens_df.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id")
