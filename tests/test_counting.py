@@ -6,6 +6,7 @@ import pytest
 
 from lexiflow.operators import collocations as C
 from lexiflow.operators import counting as G
+from lexiflow.operators import networks as N
 
 
 def lists(rnd, words, docs=40, longest=14):
@@ -80,6 +81,17 @@ def test_filter_holds_what_it_was_made_of(spark):
     assert G.np.unpackbits(bits).sum() == len(known)
 
 
+def test_rare_terms_make_no_pairs(spark, monkeypatch):
+    """Terms below min_termfreq never reach the shuffle of pairs."""
+    docs = [(i, ["x", "y", f"rare{i}"]) for i in range(12)]
+    tokens = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    seen = []
+    monkeypatch.setattr(N, "pair_totals", lambda *a, **k: seen.append(G.pair_totals(*a, **k)) or seen[-1])
+    got = N.cooccurrence_edges(tokens, 2, min_termfreq=5).collect()
+    assert [(r.term_a, r.term_b, r.n) for r in got] == [("x", "y", 12)]
+    assert [r.term for r in seen[0].collect()] == ["x y"]
+
+
 def test_collocations_store_only_what_is_found_often(spark, monkeypatch):
     docs = [(i, ["of", "the", f"only{i}"]) for i in range(9)]
     tokens = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
@@ -96,3 +108,16 @@ def test_only_likely_places_are_joined(spark):
     known = spark.createDataFrame([(["of", "the"],), (["the", "day", "x"],)], "words array<string>")
     got = G.expression_places(tokens, G.filter_of(known, "words"), 3).collect()
     assert {tuple(r) for r in got} == {(1, 1, 2, "of the"), (1, 2, 3, "the day x"), (4, 1, 2, "of the")}
+
+
+def test_tree_computes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 3.0)], "term_a string, term_b string, weight double")
+    got = N.maximum_spanning_tree(edges.mapInArrow(pass_on, edges.schema)).collect()
+    assert {(r.term_a, r.term_b) for r in got} == {("a", "c"), ("b", "c")}
+    assert made.value == 3
