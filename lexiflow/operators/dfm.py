@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fence
-
+from .counting import gram_totals
+from .tokens import ngrams_expr
 
 COUNT_TYPE = "array<struct<term:string,n:bigint>>"
 #: Column of a trimmed long table: rows of its term, so that tf-idf needs no second join.
@@ -66,6 +67,8 @@ class Dfm:
     long_df: DataFrame | None = None
     id_col: str = "doc_id"
     value_type: str = "bigint"
+    #: Words, their column and the sizes of the n-grams whose counts ``rows`` holds, if any.
+    words: tuple[DataFrame, str, Sequence[int]] | None = None
 
     @property
     def long(self) -> DataFrame:
@@ -105,13 +108,17 @@ class Dfm:
         return self.docs.agg(F.count(F.lit(1)).alias("ndoc"))
 
 
-def dfm(tokens_df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id") -> Dfm:
-    """Count tokens per document (M1), without lowercasing again. Narrow:
+def dfm(tokens_df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id", ngrams: Sequence[int] = (1,)) -> Dfm:
+    """Count tokens per document (M1), or their n-grams, without lowercasing again. Narrow:
     the counts are made inside each document row."""
+    words = None
+    if tuple(sorted(set(ngrams))) != (1,):
+        words = (tokens_df, tokens_col, ngrams)
+        tokens_df = tokens_df.withColumn(tokens_col, fence(ngrams_expr(tokens_col, ngrams)))
     rows = counted(tokens_df, tokens_col, "counts")
     if tokens_col != "counts":
         rows = rows.drop(tokens_col)
-    return Dfm(docs=rows.drop("counts"), rows=rows, id_col=id_col)
+    return Dfm(docs=rows.drop("counts"), rows=rows, id_col=id_col, words=words)
 
 
 def dfm_from_long(docs: DataFrame, long_df: DataFrame, id_col: str = "doc_id",
@@ -150,7 +157,11 @@ def dfm_select(d: Dfm, terms: Sequence[str]) -> Dfm:
 def term_totals(d: Dfm) -> DataFrame:
     """``(term, nb_terms, nb_docs)``: total frequency and document frequency in
     one aggregate (A1, A2; J1 needs no join). Partial aggregation before the
-    shuffle keeps a hot term to one row per map task."""
+    shuffle keeps a hot term to one row per map task; n-grams are counted from
+    the words, a piece of documents at a time."""
+    if d.words is not None:
+        words, col, sizes = d.words
+        return gram_totals(words, sizes, tokens_col=col).select("term", F.col("n").alias("nb_terms"), "nb_docs")
     return d.long.groupBy("term").agg(F.sum("n").alias("nb_terms"),
                                       F.count_if(F.col("n") > 0).alias("nb_docs"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,9 @@ def load_corpus(spark: SparkSession, sf: str, labels: bool = False,
 
 
 def load_dfm(spark, sf, opts=TextOptions(), labels=False, materialize=False) -> M.Dfm:
-    d = M.dfm(clean_tokens(load_corpus(spark, sf, labels), opts))
+    # n-grams are made from the cleaned words, by the dfm
+    words = clean_tokens(load_corpus(spark, sf, labels), replace(opts, ngrams=(1,)))
+    d = M.dfm(words, ngrams=opts.ngrams)
     return d.materialize() if materialize else d
 
 

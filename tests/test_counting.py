@@ -7,6 +7,7 @@ import pytest
 from lexiflow.operators import collocations as C
 from lexiflow.operators import counting as G
 from lexiflow.operators import networks as N
+from lexiflow.operators.dfm import dfm, term_totals
 
 
 def lists(rnd, words, docs=40, longest=14):
@@ -70,6 +71,17 @@ def test_parts_of_pieces(words):
         assert got[f"r{k}"] == {(t, s): n for (t, s, of), n in right.items() if of == k}
 
 
+def test_ngram_totals_need_no_counts_in_the_row(spark):
+    docs = [(i, row) for i, row in enumerate(lists(random.Random(7), ["a", "b", "a_b", "c"]))]
+    tokens = spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3)
+    d = dfm(tokens, ngrams=(1, 2))
+    got = {r.term: (r.nb_terms, r.nb_docs) for r in term_totals(d).collect()}
+    plain = d.long.collect()
+    want = {t: (sum(r.n for r in plain if r.term == t), sum(r.term == t for r in plain)) for t in {r.term for r in plain}}
+    assert got == want
+    assert "ArraySort" not in (plan := term_totals(d)._jdf.queryExecution().toString()) and "sort_array" not in plan
+
+
 def test_filter_holds_what_it_was_made_of(spark):
     known = [["of", "the"], ["the"], ["é", "ü", "ß"], ["z"] * 30]
     bits = G.filter_of(spark.createDataFrame([(k,) for k in [*known, [None]]], "words array<string>"), "words")
