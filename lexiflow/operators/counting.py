@@ -343,3 +343,42 @@ def expression_places(tokens_df: DataFrame, bits: np.ndarray, longest: int, sep:
                 begin += len(sizes)
     kind = rows.schema["__id"].dataType.simpleString()
     return rows.mapInArrow(find, f"__id {kind}, pos int, len int, expression string")
+
+
+# ------------------------------------------------------------ places of words
+
+def _word_places_of_piece(ids: pa.Array, words: pa.Array, sizes: np.ndarray, after: int,
+                          bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    known, code = _numbered(words)
+    wanted = _passed(bits, _word_hashes(known)) & known.is_valid().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(wanted[code])
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(at), BATCH_ROWS):
+        some = at[lo:lo + BATCH_ROWS]
+        doc = np.searchsorted(ends, some, side="right")
+        out = {"__id": ids.take(pa.array(doc)), "pos": pa.array(some - (ends - sizes)[doc] + 1, pa.int32()),
+               "term": known.take(pa.array(code[some])).cast(pa.string())}
+        if after:
+            n = np.minimum(ends[doc] - some - 1, after)
+            begin = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) + np.repeat(some + 1 - begin, n)
+            out["after"] = pa.ListArray.from_arrays(pa.array(np.append(begin, n.sum()), pa.int32()),
+                                                    known.take(pa.array(code[place])).cast(pa.string()))
+        yield from pa.table(out).to_batches()
+
+
+def word_places(tokens_df: DataFrame, bits: np.ndarray, after: int = 0, tokens_col: str = "tokens",
+                id_col: str = "doc_id") -> DataFrame:
+    """``__id, pos, term`` of the words that may be among those of the filter ``bits``, with the
+    ``after`` words that follow (fewer at a document's end) as ``after``; a join tells which are."""
+    most = max(1, PIECE_CODES // 2)
+    rows = tokens_df.select(F.col(tokens_col).alias("tokens"), F.col(id_col).alias("__id"))
+
+    def find(batches):
+        for batch in batches:
+            begin = 0
+            for words, sizes in _pieces(iter([batch]), most):
+                yield from _word_places_of_piece(batch.column(1).slice(begin, len(sizes)), words, sizes, after, bits)
+                begin += len(sizes)
+    kind = rows.schema["__id"].dataType.simpleString()
+    return rows.mapInArrow(find, f"__id {kind}, pos int, term string" + (", after array<string>" if after else ""))

@@ -10,11 +10,13 @@ token. Here the patterns are a table, matched once per distinct term through an
 * a glob without a letter (``??``) by its length; a regular expression has no
   key, and is tested on distinct terms only.
 
-Matched terms go back to their positions by a join on the term (broadcast if the
-matched vocabulary, which is stored, is small). Values of several words go word
+Matched terms go back to their positions by a join on the term. Only positions
+that a filter of fixed size lets pass take part, so the join moves little even if the
+matched vocabulary, which is stored, is too large to be broadcast. Values of several words go word
 by word along the distinct beginnings of values: a beginning and the next token
 give the longer beginning, so only those found in the text go further, and values
-that share a beginning share its rows. The result is that of
+that share a beginning share its rows. The spans chosen meet their documents in one
+shuffle, where the tokens of a document travel as one text. The result is that of
 ``tokens.dictionary_lookup``."""
 from __future__ import annotations
 
@@ -23,9 +25,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fence
 from ..session import materialize
+from .counting import filter_of, word_places
 from .tokens import _entries
 
 PATTERNS = "key_no int, key string, value string"
+#: Pattern words up to this number are tested before the terms are made distinct.
+LITERAL_WORDS = 5_000
+#: Stands between the tokens of a text; tokens that hold it travel as an array.
+TOKEN_SEP = "\u0001"
 
 
 def dictionary_table(spark, dictionary) -> DataFrame:
@@ -74,11 +81,15 @@ def word_keys(words: DataFrame, valuetype: str) -> DataFrame:
 def matched_vocabulary(terms: DataFrame, words: DataFrame, valuetype: str) -> DataFrame:
     """``term, word``: which pattern words match which distinct terms. A term
     is looked up once by each key it can have: itself, its length, and its
-    pieces of the sizes that the patterns use."""
+    pieces of the sizes that the patterns use. ``terms`` may repeat a term."""
     keys = materialize(word_keys(words.select("word").distinct(), valuetype))
     low = F.lower("term")
     found = []
-    kinds = {r.kind: sorted(r.sizes) for r in keys.groupBy("kind").agg(F.collect_set("size").alias("sizes")).collect()}
+    seen = keys.groupBy("kind").agg(F.collect_set("size").alias("sizes"), F.count(F.lit(1)).alias("n")).collect()
+    kinds = {r.kind: sorted(r.sizes) for r in seen}
+    if [r.kind for r in seen] == ["whole"] and seen[0].n <= LITERAL_WORDS:
+        terms = terms.where(low.isin([r.part for r in keys.select("part").distinct().collect()]))  # bounded
+    terms = terms.distinct()
     for kind, sizes in sorted(kinds.items()):  # six kinds; sizes are bounded by the longest pattern
         own = keys.where(F.col("kind") == kind).drop("kind")
         if kind == "any":
@@ -129,12 +140,13 @@ def lookup_matches(tokens_df: DataFrame, patterns: DataFrame, valuetype: str = "
     words = values.select(F.explode("words").alias("word")).distinct()
     tok = F.col(tokens_col)
     rows = tokens_df.select(F.col(id_col).alias("doc_id"), tok.alias("tokens"))
-    terms = rows.select(F.explode("tokens").alias("term")).distinct()
-    vocabulary = materialize(matched_vocabulary(terms, words, valuetype))
+    vocabulary = materialize(matched_vocabulary(rows.select(F.explode("tokens").alias("term")), words, valuetype))
     step = vocabulary.select("term", "word")
-    places = rows.select("doc_id", "tokens", F.posexplode("tokens").alias("p", "term")) \
-        .select("doc_id", (F.col("p") + 1).alias("pos"), "term",
-                *([F.slice("tokens", F.col("p") + 2, longest - 1).alias("after")] if longest > 1 else []))
+
+    def places(table, after):
+        # a table of terms is joined to the positions that its filter lets pass
+        bits = filter_of(table.select(F.array("term").alias("words")), "words")
+        return word_places(rows, bits, after).withColumnRenamed("__id", "doc_id").join(table, "term")
 
     def beginning(k):
         return F.array_join(F.slice("words", 1, k), " ").alias("begun")  # no word holds a space
@@ -144,13 +156,13 @@ def lookup_matches(tokens_df: DataFrame, patterns: DataFrame, valuetype: str = "
         return materialize(table.join(step, "word").select("term", *cols).distinct())
 
     single = values.where("n_words = 1").select(F.col("words")[0].alias("word"), "key_no", "key")
-    out = places.join(by_term(single, "key_no", "key"), "term") \
+    out = places(by_term(single, "key_no", "key"), 0) \
         .select("doc_id", "key_no", "key", "pos", F.lit(1).alias("len"))
     if longest > 1:
         # from beginning to beginning: a position has a row per beginning that
         # its tokens match, however many values begin so
         first = values.where("n_words > 1").select(F.col("words")[0].alias("word"), beginning(1))
-        going = places.where(F.size("after") > 0).join(by_term(first, "begun"), "term").drop("term")
+        going = places(by_term(first, "begun"), longest - 1).where(F.size("after") > 0).drop("term")
         for k in range(1, longest):
             going = going.withColumn("term", F.try_element_at("after", F.lit(k)))
             last = values.where(F.col("n_words") == k + 1) \
@@ -197,21 +209,34 @@ def dictionary_lookup_indexed(tokens_df: DataFrame, dictionary, valuetype: str =
     patterns = dictionary if isinstance(dictionary, DataFrame) else dictionary_table(spark, dictionary)
     stored = materialize(tokens_df)  # read for the vocabulary, the positions and the result
     spans = chosen_spans(lookup_matches(stored, patterns, valuetype, tokens_col, id_col))
-    # every covered position, with the keys that start there in order
-    covered = spans.select("doc_id", "key_no", "key", "pos",
-                           F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("at")) \
-        .select("doc_id", "at", F.when(F.col("at") == F.col("pos"), F.struct("key_no", "key")).alias("start"))
-    here = covered.groupBy("doc_id", "at").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    by_doc = here.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.sort_array(F.collect_list(F.struct("at", F.transform("starts", lambda s: s["key"]).alias("keys")))).alias("__at"))
-    out = stored.join(by_doc, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    # each span with the last position that an earlier one covers
+    earlier = Window.partitionBy("doc_id").orderBy("pos", "key_no", "key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = spans.withColumn("end", F.col("pos") + F.col("len") - 1) \
+        .withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    by_doc = placed.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "key_no", "key", "before"))).alias("__at"), F.max("end").alias("__last"))
+    out = _packed(stored, tokens_col).join(by_doc, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    out = _unpacked(out, tokens_col)
     tok = F.col(tokens_col)
-    before = F.concat(F.array(F.lit(0)), F.transform("__at", lambda m: m["at"]))
-    # the stretch of tokens before each covered position, then its keys
-    parts = F.zip_with("__at", before, lambda m, q: F.concat(
-        F.slice(tok, q + 1, F.greatest(F.coalesce(m["at"], q + 1) - q - 1, F.lit(0))),
-        F.coalesce(m["keys"], F.array().cast("array<string>"))))
-    last = F.coalesce(F.try_element_at("__at", F.lit(-1))["at"], F.lit(0))
-    rest = F.slice(tok, last + 1, F.greatest(F.size(tok) - last, F.lit(0)))
+    # the stretch of tokens before each span that no span covers, then its key
+    parts = F.transform("__at", lambda m: F.concat(
+        F.slice(tok, m["before"] + 1, F.greatest(m["pos"] - m["before"] - 1, F.lit(0))), F.array(m["key"])))
+    rest = F.slice(tok, F.col("__last") + 1, F.greatest(F.size(tok) - F.col("__last"), F.lit(0)))
     result = F.when(F.col("__at").isNull(), tok).otherwise(F.concat(F.flatten(parts), rest))
-    return out.withColumn(tokens_col, fence(result)).drop("__at")
+    return out.withColumn(tokens_col, fence(result)).drop("__at", "__last")
+
+
+def _packed(df: DataFrame, tokens_col: str) -> DataFrame:
+    """Tokens as one text, about half as large in a shuffle as an array of strings."""
+    tok = F.col(tokens_col)
+    out = df.withColumn("__text", fence(F.array_join(tok, TOKEN_SEP, TOKEN_SEP)))
+    joints = F.octet_length("__text") - F.octet_length(F.replace(F.col("__text"), F.lit(TOKEN_SEP), F.lit("")))
+    # one more joint where a token is null or holds the separator
+    out = out.withColumn("__plain", fence(F.coalesce(joints == F.size(tok) - 1, F.lit(False))))
+    return out.withColumns({"__text": F.when(F.col("__plain"), F.col("__text")),
+                            tokens_col: F.when(~F.col("__plain"), tok)}).drop("__plain")
+
+
+def _unpacked(df: DataFrame, tokens_col: str) -> DataFrame:
+    tokens = F.coalesce(F.col(tokens_col), F.split("__text", TOKEN_SEP))
+    return df.withColumn(tokens_col, fence(tokens)).drop("__text")

@@ -73,3 +73,42 @@ def test_values_of_one_beginning_share_its_rows(spark):
 def test_unknown_valuetype(tokens):
     with pytest.raises(ValueError):
         dictionary_lookup_indexed(tokens, [("a", ["b"])], "soundex")
+
+
+def test_only_positions_that_may_match_are_shuffled(spark):
+    """Ten matching terms among 40,000 positions. Without a broadcast, every
+    position went through the shuffle of the join."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "transform(sequence(1, 200), i -> "
+                                       "if(i = id, 'hit' || id % 10, 'word' || (i * 200 + id))) AS tokens")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    most = {"n": 0}
+
+    def count(node):
+        metric = node.metrics().get("shuffleRecordsWritten")
+        if metric.isDefined():
+            most["n"] = max(most["n"], metric.get().value())
+        children = node.children()
+        for i in range(children.size()):
+            count(children.apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            count(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            count(node.plan())
+    try:
+        matches = lookup_matches(docs, dictionary_table(spark, [("k", ["^hit"])]), "regex")
+        assert len(matches.collect()) == 199
+        count(matches._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < most["n"] <= 400
+
+
+def test_tokens_come_back_as_they_were(spark):
+    """Tokens travel as one text; those that it could not hold stay an array."""
+    docs = [(1, ["a", None, "b"]), (2, ["a\u0001b", "a"]), (3, []), (4, [""]), (5, ["", ""]), (6, None), (7, [None]),
+            (8, ["a", "", "b", "x"]), (9, ["a\u0001", None, "c"])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    out = {r.doc_id: r.tokens for r in dictionary_lookup_indexed(df, [("key", ["b", "a x"])], "fixed").collect()}
+    want = {i: t and [("KEY" if w == "b" else w) for w in t] for i, t in docs}
+    assert out == want
