@@ -67,7 +67,7 @@ class Dfm:
     long_df: DataFrame | None = None
     id_col: str = "doc_id"
     value_type: str = "bigint"
-    #: Words, their column and the sizes of the n-grams whose counts ``rows`` holds, if any.
+    #: Words, their column and the sizes of the n-grams whose counts ``rows`` holds, if known.
     words: tuple[DataFrame, str, Sequence[int]] | None = None
 
     @property
@@ -111,9 +111,8 @@ class Dfm:
 def dfm(tokens_df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id", ngrams: Sequence[int] = (1,)) -> Dfm:
     """Count tokens per document (M1), or their n-grams, without lowercasing again. Narrow:
     the counts are made inside each document row."""
-    words = None
-    if tuple(sorted(set(ngrams))) != (1,):
-        words = (tokens_df, tokens_col, ngrams)
+    words = (tokens_df, tokens_col, tuple(sorted(set(ngrams))))
+    if words[2] != (1,):
         tokens_df = tokens_df.withColumn(tokens_col, fence(ngrams_expr(tokens_col, ngrams)))
     rows = counted(tokens_df, tokens_col, "counts")
     if tokens_col != "counts":
@@ -157,10 +156,17 @@ def dfm_select(d: Dfm, terms: Sequence[str]) -> Dfm:
 def term_totals(d: Dfm) -> DataFrame:
     """``(term, nb_terms, nb_docs)``: total frequency and document frequency in
     one aggregate (A1, A2; J1 needs no join). Partial aggregation before the
-    shuffle keeps a hot term to one row per map task; n-grams are counted from
-    the words, a piece of documents at a time."""
+    shuffle keeps a hot term to one row per map task. Single words are counted from the
+    tokens and their distinct ones, n-grams from the words, a piece of documents at a time:
+    neither needs the counts of each document."""
     if d.words is not None:
         words, col, sizes = d.words
+        if sizes == (1,):
+            own = words.select(F.col(col).alias("__tokens"), fence(F.array_distinct(F.col(col))).alias("__own"))
+            # the distinct terms of a document come first
+            each = own.select(F.size("__own").alias("k"), F.posexplode(F.concat("__own", "__tokens")).alias("p", "term"))
+            return each.where(F.col("term").isNotNull()).groupBy("term").agg(
+                F.count_if(F.col("p") >= F.col("k")).alias("nb_terms"), F.count_if(F.col("p") < F.col("k")).alias("nb_docs"))
         return gram_totals(words, sizes, tokens_col=col).select("term", F.col("n").alias("nb_terms"), "nb_docs")
     return d.long.groupBy("term").agg(F.sum("n").alias("nb_terms"),
                                       F.count_if(F.col("n") > 0).alias("nb_docs"))

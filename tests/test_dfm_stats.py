@@ -90,3 +90,11 @@ def test_tfidf_of_a_trimmed_dfm_joins_no_second_time(spark):
     got = {(r.doc_id, r.term): r.n for r in out.collect()}
     assert got == pytest.approx({(1, "a"): 2 * idf, (2, "a"): idf, (2, "c"): 2 * idf, (3, "c"): idf})
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_single_words_are_counted_without_the_counts_of_each_document(spark):
+    docs = [(1, ["b", "a", "b", None, "b"]), (2, []), (3, None), (4, [None]), (5, ["a", "", ""]), (5, ["a"])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    totals = M.term_totals(M.dfm(df))
+    assert sorted((r.term, r.nb_terms, r.nb_docs) for r in totals.collect()) == [("", 2, 1), ("a", 3, 3), ("b", 3, 1)]
+    assert "lambda" not in totals._jdf.queryExecution().optimizedPlan().toString()
