@@ -9,7 +9,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 # the tasks get these functions by value: no installation on the executors
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Codes a task sorts at once (more only if one document has more), and rows of a batch passed on.
-PIECE_CODES = 4_000_000
-BATCH_ROWS = 200_000
+#: Codes a task sorts at once (more only if one document has more), and rows of a batch passed on. A
+#: Python worker holds some 200 bytes a code; what the pieces of a task have in common Spark adds up
+#: before the shuffle.
+PIECE_CODES = 500_000
+BATCH_ROWS = 50_000
 SCHEMA = "term string, n long, nb_docs long"
 #: Bits of a filter (4 MB), of one bitmap of Spark's (4 KB), and the factor of a word sequence's hash.
 FILTER_BITS = 1 << 25
@@ -74,9 +76,12 @@ def _runs(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order[start], np.diff(np.append(start, len(code))), np.add.reduceat(new.astype(np.int64), start)
 
 
-def _batches(term: pa.Array, n: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    out = pa.table({"term": term.cast(pa.string()), "n": pa.array(n, pa.int64()), "nb_docs": pa.array(docs, pa.int64())})
-    yield from out.to_batches(max_chunksize=BATCH_ROWS)
+def _batches(term: Callable[[slice], pa.Array], n: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``term`` gives the texts of some of the rows: a batch's are built when it leaves."""
+    for lo in range(0, len(n), BATCH_ROWS):
+        some = slice(lo, lo + BATCH_ROWS)
+        yield pa.RecordBatch.from_arrays([term(some).cast(pa.string()), pa.array(n[some], pa.int64()),
+                                          pa.array(docs[some], pa.int64())], ["term", "n", "nb_docs"])
 
 
 def _joined_words(words: Sequence[pa.Array], sep: str) -> pa.Array:
@@ -91,6 +96,11 @@ def _joined_words(words: Sequence[pa.Array], sep: str) -> pa.Array:
     return pc.binary_join_element_wise(first, *words[1:], sep, null_handling="skip")
 
 
+def _sequences(known: pa.Array, code: np.ndarray, first: np.ndarray, k: int, sep: str) -> pa.Array:
+    """The texts of ``k`` words from each of the places ``first`` on."""
+    return _joined_words([known.take(pa.array(code[first + j])) for j in range(k)], sep)
+
+
 def _grams_of_piece(words: pa.Array, sizes: np.ndarray, lengths: Sequence[int], sep: str) -> Iterator[pa.RecordBatch]:
     known, code = _numbered(words)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -112,7 +122,8 @@ def _grams_of_piece(words: pa.Array, sizes: np.ndarray, lengths: Sequence[int],
             value, top = value * base + code[at + j], top * base
         place, n, docs = _runs(value, doc[at])
         first = at[place]
-        yield from _batches(_joined_words([known.take(pa.array(code[first + j])) for j in range(k)], sep), n, docs)
+        del at, value, place
+        yield from _batches(lambda some: _sequences(known, code, first[some], k, sep), n, docs)
     if not plain.all():
         texts, owner = [], []
         for k in lengths:
@@ -126,7 +137,8 @@ def _grams_of_piece(words: pa.Array, sizes: np.ndarray, lengths: Sequence[int],
             order = np.argsort(owner, kind="stable")
             known, code = _numbered(text)
             place, n, docs = _runs(code[order], owner[order])
-            yield from _batches(known.take(pa.array(code[order][place])), n, docs)
+            place = code[order][place]
+            yield from _batches(lambda some: known.take(pa.array(place[some])), n, docs)
 
 
 def _word_hashes(known: pa.Array) -> np.ndarray:
@@ -174,7 +186,9 @@ def _pairs_of_piece(words: pa.Array, sizes: np.ndarray, window: int, sep: str,
     value = np.minimum(one, two) * base + np.maximum(one, two)
     place, n, docs = _runs(value, doc[at])
     low, high = np.divmod(value[place], base)
-    yield from _batches(_joined_words([known.take(pa.array(low)), known.take(pa.array(high))], sep), n, docs)
+    del near, other, padded, at, step, one, two, value, place
+    yield from _batches(lambda some: _joined_words([known.take(pa.array(low[some])), known.take(pa.array(high[some]))], sep),
+                        n, docs)
 
 
 def _added_up(parts: DataFrame) -> DataFrame:
@@ -214,12 +228,15 @@ def _parts_columns(lengths: Sequence[int]) -> list[str]:
     return [f"{side}{k}" for k in lengths for side in ("l", "r")]
 
 
-def _parts_batch(term, size, n, docs, columns: dict, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    zero = np.zeros(len(n), np.int64)
-    arrays = {"term": term, "size": pa.array(np.full(len(n), size, np.int32) if isinstance(size, int) else size, pa.int32()),
-              "n": pa.array(n, pa.int64()), "nb_docs": pa.array(docs, pa.int64()),
-              **{c: pa.array(columns.get(c, zero), pa.int64()) for c in names}}
-    yield from pa.table(arrays).to_batches(max_chunksize=BATCH_ROWS)
+def _parts_batch(term: Callable[[slice], pa.Array], size, n, docs, columns: dict, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(n), BATCH_ROWS):
+        some = slice(lo, lo + BATCH_ROWS)
+        own = n[some]
+        zero = np.zeros(len(own), np.int64)
+        arrays = {"term": term(some), "size": pa.array(np.full(len(own), size, np.int32) if isinstance(size, int) else size[some], pa.int32()),
+                  "n": pa.array(own, pa.int64()), "nb_docs": pa.array(docs[some], pa.int64()),
+                  **{c: pa.array(columns[c][some] if c in columns else zero, pa.int64()) for c in names}}
+        yield from pa.table(arrays).to_batches()
 
 
 def _parts_of_piece(words: pa.Array, sizes: np.ndarray, lengths: Sequence[int], sep: str) -> Iterator[pa.RecordBatch]:
@@ -261,8 +278,8 @@ def _parts_of_piece(words: pa.Array, sizes: np.ndarray, lengths: Sequence[int],
             total[k] += len(at)
         else:
             n = docs = np.zeros(len(start), np.int64)
-        term = _joined_words([known.take(pa.array(code[first + j])) for j in range(k)], sep)
-        yield from _parts_batch(term, k, n, docs, columns, names)
+        del at, value, new, order, start
+        yield from _parts_batch(lambda some: _sequences(known, code, first[some], k, sep), k, n, docs, columns, names)
     # documents with a word that holds the separator, or a null one: by their texts
     found: dict = {}
     ends = np.cumsum(sizes)
@@ -282,7 +299,8 @@ def _parts_of_piece(words: pa.Array, sizes: np.ndarray, lengths: Sequence[int],
                 found.setdefault((sep.join(parts[cut:]), len(parts) - cut), Counter())[f"r{len(parts)}"] += n
     rows = [*found.items(), *(((None, k), {"n": n}) for k, n in total.items())]
     column = lambda c: np.array([v.get(c, 0) for _, v in rows], np.int64)
-    yield from _parts_batch(pa.array([t for (t, _), _ in rows], pa.string()), [k for (_, k), _ in rows], column("n"),
+    terms = pa.array([t for (t, _), _ in rows], pa.string())
+    yield from _parts_batch(lambda some: terms.slice(some.start, BATCH_ROWS), [k for (_, k), _ in rows], column("n"),
                             column("nb_docs"), {c: column(c) for c in names}, names)
 
 

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -133,3 +135,24 @@ def test_tree_computes_its_edges_once(spark):
     got = N.maximum_spanning_tree(edges.mapInArrow(pass_on, edges.schema)).collect()
     assert {(r.term_a, r.term_b) for r in got} == {("a", "c"), ("b", "c")}
     assert made.value == 3
+
+
+@pytest.mark.parametrize("count", [
+    lambda words, sizes: G._pairs_of_piece(words, sizes, 5, " "),
+    lambda words, sizes: G._grams_of_piece(words, sizes, [1, 3, 5], "_"),
+    lambda words, sizes: G._parts_of_piece(words, sizes, [2, 3], " ")], ids=["pairs", "grams", "parts"])
+def test_a_worker_holds_little_of_a_large_task(count):
+    # an executor's memory holds the JVM and two workers
+    rng = np.random.default_rng(5)
+    known = pa.array([f"w{i}" for i in range(30_000)])
+    words, sizes = known.take(pa.array(rng.integers(0, 30_000, 1_000_000))), np.full(2000, 500)
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), words)], ["tokens"])
+    most, held, largest = G.PIECE_CODES // 5, pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for piece in G._pieces(iter([batch]), most):
+        for out in count(*piece):
+            largest = max(largest, out.num_rows)
+            assert pa.total_allocated_bytes() - held < 60e6
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and 0 < largest <= 50_000
